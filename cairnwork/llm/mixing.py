@@ -95,7 +95,8 @@ SCHEMA = "source string, id string, size bigint, rows bigint, key bigint, base i
 
 
 def _round_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["key", "size"], kind="stable", ignore_index=True)
+    order = np.lexsort([pdf["key"], -pdf["size"] * pdf["rows"]])  # the largest first, so that what is left is small
+    pdf = pdf.iloc[order].reset_index(drop=True)
     frac, held = pivot((pdf["size"] * pdf["rows"]).to_numpy(float), pdf["frac"].to_numpy(float), pdf["key"].to_numpy())
     return pdf.assign(frac=frac, done=np.arange(len(pdf)) != held)
 
