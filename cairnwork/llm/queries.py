@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnwork.llm import exact, mixing, quality, sharding, simhash
+from cairnwork.llm import bpe, exact, mixing, orc_tokens, quality, sharding, simhash
 from cairnwork.storage import load
 
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,12 +30,36 @@ def op6_exact_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(load(spark, sf_dir, "documents")).drop("_row_id")
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the installed package of public tokenizers has a file; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(load(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.tokens_via_orc(load(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_shard_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"), 16)
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash_golay, op2_quality_bradley_terry, op3_mix_pivotal, op6_exact_block_names, op9_shard_hash_tree)
+    f.__name__: f
+    for f in (
+        op1_simhash_golay,
+        op2_quality_bradley_terry,
+        op3_mix_pivotal,
+        op6_exact_block_names,
+        op7_bpe_pair_index,
+        op8_orc_tokens,
+        op9_shard_hash_tree,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
