@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnwork.llm import bpe, exact, mixing, orc_tokens, quality, sharding, simhash
+from cairnwork.llm import bpe, exact, fmindex, mixing, orc_tokens, quality, sharding, simhash, webp
 from cairnwork.storage import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_digest(load(spark, sf_dir, "documents"))
 
 
+def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op6_exact_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(load(spark, sf_dir, "documents")).drop("_row_id")
 
@@ -49,16 +53,22 @@ def op9_shard_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"), 16)
 
 
+def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_table(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_golay,
         op2_quality_bradley_terry,
         op3_mix_pivotal,
+        op5_substring_fm_index,
         op6_exact_block_names,
         op7_bpe_pair_index,
         op8_orc_tokens,
         op9_shard_hash_tree,
+        op10_lossless_webp,
     )
 }
 
