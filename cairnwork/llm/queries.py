@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnwork.llm import bpe, exact, fmindex, mixing, orc_tokens, quality, sharding, simhash, webp
+from cairnwork.llm import bpe, exact, fmindex, licences, mixing, orc_tokens, quality, sharding, simhash, webp
 from cairnwork.storage import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op3_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_digest(load(spark, sf_dir, "documents"))
 
 
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_table(load(spark, sf_dir, "documents"))
+
+
 def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.remove_repeats(load(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
         op1_simhash_golay,
         op2_quality_bradley_terry,
         op3_mix_pivotal,
+        op4_licence_sentences,
         op5_substring_fm_index,
         op6_exact_block_names,
         op7_bpe_pair_index,
