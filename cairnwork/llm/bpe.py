@@ -143,10 +143,15 @@ class Memo:
     space: no piece, special token or composed character reaches over it.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[tuple[int, ...]]], most: int = MEMO):
+    def __init__(self, encode: Callable[[list[bytes]], Iterable], most: int = MEMO):
         self.encode, self.most, self.known = encode, most, {}
 
     def texts(self, texts: list[bytes]) -> Iterator[Iterator[int]]:
+        """The ids of each text."""
+        return map(chain.from_iterable, self.words(texts))
+
+    def words(self, texts: list[bytes]) -> Iterator[Iterator]:
+        """What is remembered for each word of each text."""
         words = [t.split() for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.known))
         if len(self.known) + len(new) > self.most:
@@ -157,7 +162,7 @@ class Memo:
             self.known.update(zip(part, self.encode(part), strict=True))
         get = self.known.__getitem__
         for own in words:
-            yield chain.from_iterable(map(get, own))
+            yield map(get, own)
 
 
 def pair_index_words(vocab: Vocabulary) -> Callable[[list[bytes]], Iterable[tuple[int, ...]]]:

@@ -12,7 +12,6 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ ORC_OPTIONS = {
 }
 
 
-def library_words(path: str) -> Callable[[list[bytes]], Iterable[tuple[int, ...]]]:
-    """Encodes distinct words with the tokenizers library.
+def library_words(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
+    """Encodes distinct words with the tokenizers library, as little-endian 32-bit ids.
 
     A word of ASCII letters, with or without one sign after it, is one or two pieces and
     goes to the library's model; any other word goes through the library as a text.
@@ -38,18 +37,23 @@ def library_words(path: str) -> Callable[[list[bytes]], Iterable[tuple[int, ...]
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    model, letters, pieces = tokenizer.model, byte_letters(), {}
+    model, letters = tokenizer.model, byte_letters()
+    pieces: dict[bytes, bytes] = {}
 
-    def piece(word: bytes) -> tuple[int, ...]:
+    def packed(ids: Iterable[int]) -> bytes:
+        return np.array(list(ids), dtype="<u4").tobytes()
+
+    def piece(word: bytes) -> bytes:
         found = pieces.get(word)
         if found is None:
-            found = pieces[word] = tuple(t.id for t in model.tokenize("".join(letters[b] for b in word)))
+            text = word.decode() if word.isalpha() else "".join(letters[b] for b in word)
+            found = pieces[word] = packed([t.id for t in model.tokenize(text)])
         return found
 
-    def encode(words: list[bytes]) -> Iterable[tuple[int, ...]]:
-        if len(pieces) > 300_000:
+    def encode(words: list[bytes]) -> Iterable[bytes]:
+        if len(pieces) > 200_000:
             pieces.clear()
-        out, rest = [()] * len(words), []
+        out, rest = [b""] * len(words), []
         for i, word in enumerate(words):
             if word.isalpha():
                 out[i] = piece(word.lower())
@@ -59,7 +63,7 @@ def library_words(path: str) -> Callable[[list[bytes]], Iterable[tuple[int, ...]
                 rest.append(i)
         texts = [words[i].decode("utf-8", "replace") for i in rest]
         for i, x in zip(rest, tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
-            out[i] = tuple(x.ids)
+            out[i] = packed(x.ids)
         return out
 
     return encode
@@ -68,7 +72,7 @@ def library_words(path: str) -> Callable[[list[bytes]], Iterable[tuple[int, ...]
 @lru_cache(maxsize=2)
 def library_memo(path: str) -> Memo:
     """One memo for each vocabulary in a Python worker."""
-    return Memo(library_words(path))
+    return Memo(library_words(path), 700_000)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -79,11 +83,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 2, id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = library_memo(vocabulary)
+        memo, last = library_memo(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
-            arrays = [np.fromiter(chain(x, (end_id,)), dtype=np.int32) for part in chunked(batch.column(2)) for x in memo.texts(part)]
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)]), pa.int32()))
+            rows = [b"".join(x) + last for part in chunked(batch.column(2)) for x in memo.words(part)]
+            offsets = np.cumsum([0, *(len(r) >> 2 for r in rows)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["place", "doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
