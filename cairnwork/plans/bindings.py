@@ -199,3 +199,71 @@ def _(s, d):
 @query("X_11_padded_id", "SELECT c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) >= 6 THEN CAST(c_custkey AS VARCHAR) ELSE lpad(CAST(c_custkey AS VARCHAR), 6, '0') END AS id FROM customer")
 def _(s, d):
     return load(s, d, "customer").select("c_custkey", X.padded_id(F.col("c_custkey")).alias("id"))
+
+
+@query("W_05_latest_metric", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def _(s, d):
+    return W.first_per_key(load(s, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
+
+
+@query("W_09_latest_slice", "SELECT o_orderkey FROM orders QUALIFY year(o_orderdate) = max(year(o_orderdate)) OVER (PARTITION BY o_custkey)")
+def _(s, d):
+    orders = load(s, d, "orders").withColumn("y", F.year("o_orderdate"))
+    return orders.withColumn("m", F.max("y").over(Window.partitionBy("o_custkey"))).where("y = m").select("o_orderkey")
+
+
+@query("W_14_rank_by_metric", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS rank FROM supplier")
+def _(s, d):
+    # one sort over a dimension; ranks over facts belong in partitions
+    return load(s, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey")).alias("rank"))
+
+
+@query("J_07_latest_child", "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(s, d):
+    latest = load(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    return load(s, d, "customer").select("c_custkey").join(latest, "c_custkey", "left")
+
+
+@query("J_09_not_exists_null_safe", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey IS NOT DISTINCT FROM s_nationkey AND c_acctbal > 9000)")
+def _(s, d):
+    rich = load(s, d, "customer").where("c_acctbal > 9000").select("c_nationkey").distinct()
+    return load(s, d, "supplier").join(rich, F.col("s_nationkey").eqNullSafe(F.col("c_nationkey")), "left_anti").select("s_suppkey")
+
+
+@query("J_13_normalised_lookup", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND upper(trim(n_name)) <> ''")
+def _(s, d):
+    nations = load(s, d, "nation").where(F.upper(F.trim("n_name")) != "").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return load(s, d, "customer").join(nations, "c_nationkey", "left").select("c_custkey", "n_name")
+
+
+@query("A_06_distinct_array", "SELECT lang, list_aggregate(list_sort(list(DISTINCT source) FILTER (WHERE n_chars > 100)), 'string_agg', ',') AS sources FROM documents GROUP BY lang")
+def _(s, d):
+    return load(s, d, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("n_chars") > 100, F.col("source")))), ",").alias("sources"))
+
+
+@query("A_09_median", "SELECT event_type, median(value) AS mid FROM events GROUP BY 1")
+def _(s, d):
+    return load(s, d, "events").groupBy("event_type").agg(F.median("value").alias("mid"))
+
+
+@query("A_22_run_summary", "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 1.0 / count(*), 4) AS error_rate, count(DISTINCT user_id) AS users FROM events")
+def _(s, d):
+    return load(s, d, "events").agg(F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("error_rate"), F.count_distinct("user_id").alias("users"))
+
+
+@query("A_32_most_common", "SELECT o_custkey, arg_min(o_orderpriority, (-n, o_orderpriority)) AS priority FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def _(s, d):
+    counts = load(s, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
+    return counts.groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct(-F.col("n"), "o_orderpriority")).alias("priority"))
+
+
+@query("S_01_layers", "SELECT doc_id AS id, 'doc' AS layer FROM documents UNION ALL SELECT page_id, 'page' FROM pages")
+def _(s, d):
+    docs = load(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("doc").alias("layer"))
+    return docs.unionByName(load(s, d, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("layer")))
+
+
+@query("D_18_severity", "SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 'major' WHEN o_totalprice >= 150000 THEN 'notable' WHEN o_totalprice >= 50000 THEN 'watch' ELSE 'none' END AS severity FROM orders")
+def _(s, d):
+    price = F.col("o_totalprice")
+    return load(s, d, "orders").select("o_orderkey", L.first_reason([(price >= 300000, "major"), (price >= 150000, "notable"), (price >= 50000, "watch")], "none").alias("severity"))
