@@ -12,7 +12,9 @@ from cairnwork.operators import aggregates as A
 from cairnwork.operators import filters as L
 from cairnwork.operators import joins as J
 from cairnwork.operators import ranking as W
+from cairnwork.operators import upserts as U
 from cairnwork.storage import load
+from cairnwork.streaming import usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,3 +269,32 @@ def _(s, d):
 def _(s, d):
     price = F.col("o_totalprice")
     return load(s, d, "orders").select("o_orderkey", L.first_reason([(price >= 300000, "major"), (price >= 150000, "notable"), (price >= 50000, "watch")], "none").alias("severity"))
+
+
+@query("SNK_03_last_write_wins", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT user_id FROM events) UNION ALL SELECT user_id, CAST(arg_max(floor(value), (ts, event_id)) AS INTEGER) FROM events GROUP BY 1")
+def _(s, d):
+    batch = load(s, d, "events").select(F.col("user_id").alias("doc_id"), F.floor("value").cast("int").alias("quality"), "ts", "event_id")
+    return U.last_write_wins(load(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")), batch, ["doc_id"], [F.desc("ts"), F.desc("event_id")])
+
+
+@query("SNK_05_insert_ignore", "SELECT doc_id, min(lang) AS lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def _(s, d):
+    return U.insert_ignore(load(s, d, "labels"), load(s, d, "documents").select("doc_id", "lang"), ["doc_id"], [F.asc("lang")])
+
+
+@query("SNK_06_upsert_keeping_reviewed", "SELECT d.doc_id, d.n_chars AS size, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang = 'en' UNION ALL SELECT doc_id, CAST(quality AS BIGINT), toxic FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _(s, d):
+    stored = load(s, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("size"), "toxic")
+    batch = load(s, d, "documents").where("lang = 'en'").select("doc_id", F.col("n_chars").alias("size"), F.lit(0).cast(stored.schema["toxic"].dataType).alias("toxic"))
+    return U.upsert_keeping(stored, batch, "doc_id", ["toxic"], F.col("size") == 1)
+
+
+@query("SNK_08_update_from", "SELECT s_suppkey, s_name, CASE WHEN n IS NOT NULL THEN n ELSE s_acctbal END AS s_acctbal FROM supplier LEFT JOIN (SELECT l_suppkey, max(l_extendedprice) AS n FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R' GROUP BY 1) ON l_suppkey = s_suppkey")
+def _(s, d):
+    top = load(s, d, "lineitem").where("l_quantity > 49 AND l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_extendedprice").alias("s_acctbal"))
+    return U.update_from(load(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), top, "s_suppkey", ["s_acctbal"])
+
+
+@query("STR_usage_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(s, d):
+    return usage.windowed_usage(load(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
