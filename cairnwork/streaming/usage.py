@@ -11,8 +11,9 @@ def windowed_usage(events: DataFrame, length: str = "1 day", lateness: str = "2
 
     On a stream, state is held only for windows that the watermark has not passed: an event
     later than ``lateness`` is left out. A table has no late events. Null times are dropped.
+    Times without zone are read in the session's zone on a stream, so set that to UTC.
     """
     rows = events.where(F.col(ts).isNotNull())
     if events.isStreaming:
-        rows = rows.withWatermark(ts, lateness)
-    return rows.groupBy(F.window(ts, length).alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
+        rows = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    return rows.groupBy(F.window(ts, length).alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").cast(events.schema[ts].dataType).alias("start"), kind, "n", "total")
