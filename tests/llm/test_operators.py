@@ -180,7 +180,7 @@ def test_licences(spark):
     assert out == {0: (0, 0, ""), 1: (0, 0, ""), 2: (4, 1, "MIT"), 3: (2, 2, "CC-BY-NC-4.0,MIT"), 4: (0, 0, "")}
 
 
-@pytest.mark.parametrize("text", [b"", b"a", b"\xff" * 576, b"ab" * 400, b"abcd" * 300, b"abcdefghijk" * 99, bytes(range(256)) * 20, random.Random(1).randbytes(3000)])
+@pytest.mark.parametrize("text", [b"", b"a", b"\xff" * 576, b"ab" * 400, b"abcd" * 300, b"abcdefghijk" * 99, bytes(range(256)) * 20, random.Random(1).randbytes(3000), random.Random(2).randbytes(200_000), b"\xff" * 300_000, "é ü ".encode() * 40_000, b"xyz " * 2_600_000])
 def test_webp_round_trip(text):
     samples = webp.load_samples(webp.store(text)).tobytes()
     assert samples[: len(text)] == text and len(samples) % 576 == 0 and len(samples) > 0 and set(samples[len(text) :]) <= {255}
