@@ -28,3 +28,36 @@ def bucket(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def signed_totals(df: DataFrame, key: str, seeks: Column, size: Column, low: float, high: float) -> DataFrame:
+    """Sum of sizes, those that don't seek counted negative, kept in ``low`` to ``high``; 0 for a key with both kinds."""
+    marked = df.select(key, seeks.alias("_s"), size.alias("_n"))
+    sums = marked.groupBy(key).agg(F.sum(F.when(F.col("_s"), F.col("_n")).otherwise(-F.col("_n"))).alias("_t"), (F.bool_or("_s") & ~F.bool_and("_s")).alias("conflicted"))
+    return sums.select(key, F.when(F.col("conflicted"), 0).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col("_t")))).alias("total"), "conflicted")
+
+
+def with_all_labels(df: DataFrame, name: str, labels: Sequence[str], zero: Sequence[str] = ()) -> DataFrame:
+    """A row for each of ``labels``, empty ones too; columns in ``zero`` are 0 there, others null."""
+    every = df.sparkSession.createDataFrame([(x,) for x in labels], f"`{name}` string")
+    return F.broadcast(every).join(df, name, "left").fillna(0, list(zero))
+
+
+def count_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Counts of each key before and after, and the difference; a key missing on one side counts 0 there."""
+    sides = [d.groupBy(key).agg(F.count("*").alias(n)) for d, n in ((before, "before"), (after, "after"))]
+    return sides[0].join(sides[1], key, "full_outer").fillna(0, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before"))
+
+
+def non_null_count(columns: Sequence[str]) -> Column:
+    """How many of the columns hold a value in a row."""
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+
+
+def compare_matrix(facts: DataFrame, ids: Sequence, id_col: str, field: str, value: str, columns: Sequence[str], placeholder: str) -> DataFrame:
+    """One row for each asked id in the order asked (first mention), one column for each field, gaps filled."""
+    order = list(dict.fromkeys(ids))
+    wanted = facts.sparkSession.createDataFrame(list(enumerate(order)), f"position int, `{id_col}` {facts.schema[id_col].dataType.simpleString()}")
+    cells = facts.where(F.col(id_col).isin(order) & F.col(field).isin(list(columns)))
+    wide = conditional_pivot(cells, [id_col], field, value, {c: c for c in columns})
+    return F.broadcast(wanted).join(wide, id_col, "left").select("position", id_col, *[F.coalesce(F.col(c).cast("string"), F.lit(placeholder)).alias(c) for c in columns])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnwork.functions import scalars as X
@@ -13,21 +11,10 @@ from cairnwork.operators import filters as L
 from cairnwork.operators import joins as J
 from cairnwork.operators import ranking as W
 from cairnwork.operators import upserts as U
+from cairnwork.plans.registry import query
 from cairnwork.storage import load
 from cairnwork.streaming import usage
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name], ORACLE_SQL[name] = f, sql
-        return f
-
-    return add
-
 
 @query("W_01_latest_per_key", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def _(s, d):

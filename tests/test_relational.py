@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from cairnwork.functions import scalars as X
 from cairnwork.operators import filters as L
 from cairnwork.operators import joins as J
-from cairnwork.plans import bindings
+from cairnwork.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,10 +22,10 @@ def duck():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(bindings.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    ours = bindings.QUERIES[name](spark, SF).toPandas()
-    theirs = duck.execute(bindings.ORACLE_SQL[name]).df()
+    ours = registry.QUERIES[name](spark, SF).toPandas()
+    theirs = duck.execute(registry.ORACLE_SQL[name]).df()
     columns = sorted(theirs.columns)
     assert sorted(ours.columns) == columns
     rows = [sorted(map(str, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None))) for x in (ours, theirs)]
