@@ -130,3 +130,9 @@ def host(url: Column) -> Column:
 def registrable_domain(url: Column) -> Column:
     """The last two labels of the host."""
     return F.substring_index(host(url), ".", -2)
+
+
+def merged_maps(base: Column, over: Column) -> Column:
+    """The union of two maps; ``over`` wins where both have a key, a null map counts as empty."""
+    kept = F.map_filter(base, lambda k, v: ~F.coalesce(F.map_contains_key(over, k), F.lit(False)))
+    return F.when(base.isNull(), over).when(over.isNull(), base).otherwise(F.map_concat(kept, over))

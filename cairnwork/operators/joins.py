@@ -32,3 +32,15 @@ def year_pairs(df: DataFrame, entity: str, year: str, value: str, prior: int, la
     a = df.where(F.col(year) == prior).select(entity, F.col(value).alias("prior_value"))
     b = df.where(F.col(year) == latest).select(entity, F.col(value).alias("latest_value"))
     return a.join(b, entity)
+
+
+def latest_overlay(base: DataFrame, extra: DataFrame, on: Sequence[str], fits: str, order: Sequence, columns: Sequence[str]) -> DataFrame:
+    """``base`` with ``columns`` of the first row of ``extra`` by ``order`` that fits it, null where none does.
+
+    ``fits`` is a condition over ``b`` and ``e``, ``order`` columns of ``e``. Equal rows of ``base`` all stay and get the same.
+    """
+    rows = base.withColumn("_base", F.struct(*[F.col(c) for c in base.columns]))
+    equal = " AND ".join(f"b.`{c}` = e.`{c}`" for c in on)
+    pairs = rows.select("_base", *base.columns).distinct().alias("b").join(extra.alias("e"), F.expr(f"{equal} AND ({fits})"))
+    best = pairs.groupBy("_base").agg(F.min_by(F.struct(*[F.col(f"e.{c}") for c in columns]), F.struct(*order)).alias("_best"))
+    return rows.join(best, "_base", "left").select(*base.columns, *[F.col(f"_best.{c}") for c in columns])
