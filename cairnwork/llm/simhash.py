@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnwork.llm.components import connected_components
-from cairnwork.llm.rows import ROW, chosen, numbered
 from cairnwork.storage import materialize
 
 # The generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
@@ -147,11 +146,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``docs`` (a table read from files) that stay, with all their columns: of each
-    component the row with the least id, the first in the scan of equal ones, a null id last."""
-    rows = numbered(docs).withColumn("_key", F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.col(ROW).alias("row")))
-    found = near_duplicates(rows, "_key", text_col, width)
-    return chosen(docs, found.where("_key = component_id").select(F.col("_key.row").alias(ROW)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnwork.llm import bpe, exact, mixing, quality, simhash
+from cairnwork.llm import bpe, exact, mixing, neardup, quality
 from cairnwork.llm.queries import vocabulary_path
 from cairnwork.storage import load, materialize
 
@@ -24,8 +24,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints at two or fewer differing bits."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of texts whose five-word shingles are 0.8 similar or more."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality classifier", keep_good),
     ("exact dedup", drop_exact),
-    ("simhash near-dedup", drop_near),
+    ("near-dedup", drop_near),
     ("mixing sources", mix_sources),
     ("bpe encoding", encode_texts),
 ]
