@@ -66,6 +66,7 @@ RULES = (
 )
 SENTENCE_END = re.compile(r"[.!?;:]+(?=\s|$)|\n")
 NOT_WORD = re.compile(r"[\W_]+")
+WORD = re.compile(r"[^\W_]+")
 
 
 def normalise(sentence: str) -> str:
@@ -75,7 +76,7 @@ def normalise(sentence: str) -> str:
 
 @dataclass
 class Recogniser:
-    """Known sentences by their normalised form, and rules; ``gap`` unknown sentences may stand inside a rule."""
+    """Known sentences by their normalised form, and rules; ``gap`` unknown sentences (or lines of one) may stand between two known ones of a rule."""
 
     sentences: dict[str, str] = field(default_factory=lambda: SENTENCES)
     rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES
@@ -91,18 +92,18 @@ class Recogniser:
             self.starts.update(" ".join(words[:k]) for k in range(1, len(words)))
         self.heads = {k.split(" ")[0] for k in self.known}
 
-    def identify(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(identifier, sentence number, start, end) of known sentences in order.
+    def identify(self, text: str) -> list[tuple[str, int, int, int, int]]:
+        """(identifier, first piece, last piece, start, end) of known sentences in order; pieces without words aren't numbered.
 
         A sentence may go on over line breaks and inner stops: pieces are joined while
         they begin a known sentence, and the longest known sentence from a piece is taken.
         """
         pieces, at = [], 0
         for stop in SENTENCE_END.finditer(text):
-            if stop.start() > at:
+            if WORD.search(text, at, stop.end()):
                 pieces.append((at, stop.end()))
             at = stop.end()
-        if at < len(text):
+        if WORD.search(text, at):
             pieces.append((at, len(text)))
         out, i = [], 0
         while i < len(pieces):
@@ -111,25 +112,25 @@ class Recogniser:
             while head.replace("licence", "license") in self.heads and j < len(pieces):
                 joined = f"{joined} {normalise(text[slice(*pieces[j])])}".strip()
                 if joined in self.known:
-                    best = (self.known[joined], i, pieces[i][0], pieces[j][1], j)
+                    best = (self.known[joined], i, j, pieces[i][0], pieces[j][1])
                 if joined not in self.starts:
                     break
                 j += 1
             if best:
-                out.append(best[:4])
-                i = best[4]
+                out.append(best)
+                i = best[2]
             i += 1
         return out
 
-    def match(self, found: list[tuple[str, int, int, int]]) -> list[tuple[str, str, int, int]]:
+    def match(self, found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, str, int, int]]:
         """(licence, identifiers, start, end) of the rules that stand in the sequence, from left to right."""
         out, i = [], 0
         while i < len(found):
             for licence, wanted in self.rules:
                 own = found[i : i + len(wanted)]
-                near = all(b[1] - a[1] <= self.gap + 1 for a, b in zip(own, own[1:], strict=False))
+                near = all(b[1] - a[2] <= self.gap + 1 for a, b in zip(own, own[1:], strict=False))
                 if tuple(x[0] for x in own) == wanted and near:
-                    out.append((licence, " ".join(wanted), own[0][2], own[-1][3]))
+                    out.append((licence, " ".join(wanted), own[0][3], own[-1][4]))
                     i += len(wanted) - 1
                     break
             i += 1
