@@ -108,7 +108,7 @@ class Recogniser:
         out, i = [], 0
         while i < len(pieces):
             best, j, joined = None, i, ""
-            head = NOT_WORD.split(text[pieces[i][0] : pieces[i][0] + 64].strip("\"'()*#/-_ \t\r\x0b\x0c").lower(), maxsplit=1)[0]
+            head = WORD.search(text, *pieces[i])[0].lower()
             while head.replace("licence", "license") in self.heads and j < len(pieces):
                 joined = f"{joined} {normalise(text[slice(*pieces[j])])}".strip()
                 if joined in self.known:

@@ -26,3 +26,9 @@ def test_gap_counts_unknown_pieces():
     grant, keep = ("\n".join(textwrap.wrap(licences.SENTENCES[k], 40)) for k in ("mit-grant", "mit-keep"))
     assert found(f"{grant}\n{'Other words. ' * 3}\n{keep}") == [("MIT", "mit-grant mit-keep")]
     assert found(f"{grant}\n{'Other words. ' * 4}\n{keep}") == []
+
+
+@pytest.mark.parametrize("before", ["<!-- ", "> ", "| ", "% ", "[", "• ", "“", " ", " " * 80, "_" * 80, "; \t—"])
+def test_signs_before(before):
+    assert found(f"{before}Licensed under the MIT License.") == [("MIT", "mit-licensed")]
+    assert found(f"Some words.\n{before}Licensed under the MIT Licence.\n") == [("MIT", "mit-licensed")]
