@@ -115,6 +115,12 @@ def _(s, d):
     return load(s, d, "customer").join(top, "c_custkey", "left").orderBy(F.desc_nulls_last("top"), "c_name").limit(100).select("c_custkey")
 
 
+@query("L_04_all_blanks_last", "SELECT c_custkey, c_name, max(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2 ORDER BY top DESC NULLS LAST, c_name, c_custkey")
+def _(s, d):
+    top = load(s, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("top"))
+    return load(s, d, "customer").join(top, "c_custkey", "left").orderBy(F.desc_nulls_last("top"), "c_name", "c_custkey").select("c_custkey", "c_name", "top")
+
+
 @query("R_06_grouped", "SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS kinds FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
     counts = load(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
