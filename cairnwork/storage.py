@@ -32,4 +32,14 @@ def materialize(df: DataFrame, name: str = "step", compression: str = "snappy")
     spark = df.sparkSession
     path = f"{work_dir(spark)}/cairnwork/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` returned and that nothing reads any more: what was made of them is itself written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
