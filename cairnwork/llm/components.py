@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwork.storage import materialize
+from cairnwork.llm.rows import join_common
+from cairnwork.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,36 +15,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns ``(node, label)`` for nodes that are not their own label. Each round links
     every larger neighbour to the least one (large star) and then every smaller one
     (small star); rounds needed grow with the logarithm of the component size. A round
-    is two grouped minima and two joins back, written to the shared folder. Only a row
-    count and a checksum come to the driver. Loops, repeated and reversed edges and
-    nulls in either end are ignored; no edges give no rows.
+    is two grouped minima and two joins back, written to the shared folder; a node with very
+    many links is joined by broadcast. The loop ends when a round changes no row: the tables,
+    which are sets, have equal counts and no row of the new one is missing in the old one.
+    Loops, repeated and reversed edges and nulls in either end are ignored; no edges give no rows.
     """
     pairs = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = _state(pairs)
-    if before[0] == 0:
-        return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    for _ in range(max_rounds):
-        pairs = materialize(_small_star(_large_star(pairs)), "stars")
-        after = _state(pairs)
-        if after == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = after
-    raise RuntimeError("components did not settle")
-
-
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first())
-
-
-def _large_star(pairs: DataFrame) -> DataFrame:
+    count = pairs.count()
+    for _ in range(max_rounds if count else 0):
+        new, least = _round(pairs)
+        before, count = count, new.count()
+        settled = count == before and new.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        discard(pairs, least)
+        pairs = new
+        if settled:
+            break
+    else:
+        if count:
+            raise RuntimeError("components did not settle")
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _round(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the links after a large and a small star, a table that the caller discards)."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(pairs: DataFrame) -> DataFrame:
-    """``pairs`` have u > v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least).distinct()
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    large = join_common(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    small = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialize(moved.union(small).distinct(), "stars"), least

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnwork.llm.rows import ROW, numbered
-from cairnwork.storage import materialize
+from cairnwork.llm.rows import join_common, row_table, stable
+from cairnwork.storage import discard, materialize
 
 GRAM = 8
 BLANK = np.zeros(256, dtype=bool)
@@ -51,7 +51,9 @@ class Anchors:
     """Cuts texts into runs of windows with one anchor; holds the tables of powers."""
 
     def __init__(self, window: int):
-        self.window, self.up, self.down = window, _powers(_STEP, 1), _powers(_BACK, 1)
+        if window < 1:
+            raise ValueError("a window has at least one word")
+        self.window, self.gram, self.up, self.down = window, min(GRAM, window), _powers(_STEP, 1), _powers(_BACK, 1)
 
     def _word_hashes(self, text: bytes) -> np.ndarray:
         out, at = [], 0
@@ -80,11 +82,11 @@ class Anchors:
         n = len(words) - self.window + 1
         if n <= 0:
             return none, none, none
-        grams = np.zeros(len(words) - GRAM + 1, dtype=np.uint64)
-        for j in range(GRAM):
+        grams = np.zeros(len(words) - self.gram + 1, dtype=np.uint64)
+        for j in range(self.gram):
             grams = grams * np.uint64(_STEP) + words[j : j + len(grams)]
         least, place = _mixed(grams), np.arange(len(grams))
-        width, span = self.window - GRAM + 1, 1
+        width, span = self.window - self.gram + 1, 1
         while span < width:
             step = min(span, width - span)
             right = least[step:] < least[:-step]
@@ -125,10 +127,10 @@ class Wavelet:
 class FMIndex:
     """Backward search over a sequence of word numbers in which 0 ends each segment.
 
-    Suffixes are sorted by their first ``depth`` words, which is exact for patterns up to that length.
+    Suffixes are sorted by their first ``depth`` words or more, which is exact for patterns up to that length.
     """
 
-    def __init__(self, sequence: np.ndarray, size: int, depth: int = 64):
+    def __init__(self, sequence: np.ndarray, size: int, depth: int):
         n, span, rank = len(sequence), 1, sequence.astype(np.int64)
         order = np.argsort(rank, kind="stable")
         while span < depth:
@@ -162,7 +164,7 @@ def repeated_words(segments: list[bytes], copies: np.ndarray, window: int) -> li
     words = np.ones(len(sequence), dtype=bool)
     words[ends - 1] = False
     sequence[words] = [numbers.setdefault(w, len(numbers) + 1) for p in parts for w in p]
-    index = FMIndex(sequence, len(numbers) + 1)
+    index = FMIndex(sequence, len(numbers) + 1, int(lengths.max()))
     begin, found = ends - 1 - lengths, np.zeros(len(sequence) + 1, dtype=np.int64)
     least = np.where(copies > 1, 1, 2)
     active = np.arange(len(segments))
@@ -195,7 +197,7 @@ def repeated_words(segments: list[bytes], copies: np.ndarray, window: int) -> li
 
 
 def _described(texts: DataFrame, window: int) -> DataFrame:
-    """(row, id, text_key, n_words, sha256 of all words, anchors of its runs) for each row."""
+    """(row, id, text_key, n_words, sha256 of all words, anchors of its runs) for ``texts (row, id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Anchors(window)
@@ -214,7 +216,7 @@ def _described(texts: DataFrame, window: int) -> DataFrame:
             )
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"row bigint, id {kind}, text_key binary, n_words bigint, sha string, anchors array<bigint>")
+    return texts.mapInArrow(run, f"row {ROW}, id {kind}, text_key binary, n_words bigint, sha string, anchors array<bigint>")
 
 
 def _segments(texts: DataFrame, window: int) -> DataFrame:
@@ -224,7 +226,7 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
         cutter = Anchors(window)
         for batch in batches:
             rows, starts, keys, parts = [], [], [], []
-            for row, text, shared in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row, (text, shared) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)):
                 first, many, anchor = cutter.runs(text)
                 words = text.split()
                 for k in np.flatnonzero(np.isin(anchor, np.array(shared, dtype=np.int64))).tolist():
@@ -233,18 +235,19 @@ def _segments(texts: DataFrame, window: int) -> DataFrame:
                     starts.append(a)
                     keys.append(int(anchor[k]))
                     parts.append(b" ".join(words[a : a + int(many[k]) + window - 1]))
-            yield _segment_batch(rows, starts, keys, parts)
+            yield _segment_batch(batch.column(0).take(pa.array(rows, pa.int64())), starts, keys, parts)
 
     return texts.mapInArrow(run, SEGMENT)
 
 
-SEGMENT = "row bigint, start bigint, anchor bigint, segment binary, words binary"
+ROW = "struct<file: bigint, at: bigint>"
+SEGMENT = f"row {ROW}, start bigint, anchor bigint, segment binary, words binary"
 
 
-def _segment_batch(rows: list, starts: list, keys: list, parts: list[bytes]) -> pa.RecordBatch:
+def _segment_batch(rows: pa.Array, starts: list, keys: list, parts: list[bytes]) -> pa.RecordBatch:
     names = pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(keys, pa.int64()), names, pa.array(parts, pa.binary())], names=["row", "start", "anchor", "segment", "words"]
+        [rows, pa.array(starts, pa.int64()), pa.array(keys, pa.int64()), names, pa.array(parts, pa.binary())], names=["row", "start", "anchor", "segment", "words"]
     )
 
 
@@ -254,19 +257,19 @@ def _single_windows(segments: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, parts = [], [], []
-            for row, start, own in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4)), strict=True):
+            for row, (start, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 4)), strict=True)):
                 words = own.split()
                 for a in range(len(words) - window + 1):
                     rows.append(row)
                     starts.append(start + a)
                     parts.append(b" ".join(words[a : a + window]))
-            yield _segment_batch(rows, starts, [xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts], parts)
+            yield _segment_batch(batch.column(0).take(pa.array(rows, pa.int64())), starts, [xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts], parts)
 
     return segments.select("row", "start", "anchor", "segment", "words").mapInArrow(run, SEGMENT)
 
 
 def _searched(contents: DataFrame, window: int, shards: int) -> DataFrame:
-    """``(segment, ranges)`` of the distinct segments that have repeated windows; one FM-index a partition."""
+    """``(segment, ranges, copies)`` of the distinct segments that have repeated windows; one FM-index a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, parts, copies = [], [], []
@@ -277,11 +280,12 @@ def _searched(contents: DataFrame, window: int, shards: int) -> DataFrame:
         ranges = repeated_words(parts, np.array(copies), window)
         kept = [k for k, r in enumerate(ranges) if r]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([names[k] for k in kept], pa.binary()), pa.array([ranges[k] for k in kept], pa.list_(pa.int64()))], names=["segment", "ranges"]
+            [pa.array([names[k] for k in kept], pa.binary()), pa.array([ranges[k] for k in kept], pa.list_(pa.int64())), pa.array([copies[k] for k in kept], pa.int64())],
+            names=["segment", "ranges", "copies"],
         )
 
     dealt = contents.select("anchor", "segment", "words", "copies").repartition(shards, "anchor")
-    return dealt.mapInArrow(run, "segment binary, ranges array<bigint>")
+    return dealt.mapInArrow(run, "segment binary, ranges array<bigint>, copies bigint")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -300,34 +304,40 @@ def _cut(texts: DataFrame) -> DataFrame:
                 shas.append(sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["row", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "row bigint, n_removed bigint, kept string")
+    return texts.mapInArrow(run, f"row {ROW}, n_removed bigint, kept string")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """(described rows, ``(row, ranges)``: words of each distinct text that lie in repeated windows).
+    """(described rows, ``(row, ranges)``: words of each distinct text that lie in repeated windows) for a frame that ``stable`` returned.
 
     Of texts that are the same throughout, one is searched; a text of at least ``window``
     words that stands twice is repeated as a whole, which the caller adds.
     """
-    base = numbered(docs).select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    base = row_table(docs, id=F.col(id_col), text=F.col(text_col).cast("binary"))
     described = materialize(_described(base, window), "described", "zstd")
     reps = described.groupBy("text_key").agg(F.min("row").alias("row"))
     anchors = materialize(described.join(reps, ["text_key", "row"], "left_semi").select("row", F.explode("anchors").alias("anchor")), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("shared"))
+    shared = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared-anchors")
+    wanted = join_common(anchors, shared, ["anchor"], "n").groupBy("row").agg(F.collect_set("anchor").alias("shared"))
     segments = materialize(_segments(base.select("row", "text").join(wanted, "row").select("row", "text", "shared"), window), "segments", "zstd")
+    discard(anchors, shared)
     contents = materialize(_contents(segments), "contents", "zstd")
     hot = materialize(contents.groupBy("anchor").agg(F.sum(F.length("words")).alias("bytes")).where(F.col("bytes") > HOT).select("anchor"), "hot-anchors")
+    made = [segments, contents, hot]
     if not hot.isEmpty():
         # an anchor with too much text for one shard: its segments go as single windows, dealt by their own hashes
         windows = materialize(_single_windows(segments.join(hot, "anchor"), window), "windows", "zstd")
+        single = materialize(_contents(windows), "contents", "zstd")
+        made += [windows, single]
         segments = segments.join(hot, "anchor", "left_anti").unionByName(windows)
-        contents = contents.join(hot, "anchor", "left_anti").unionByName(_contents(windows))
+        contents = contents.join(hot, "anchor", "left_anti").unionByName(single)
     total = contents.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
     found = materialize(_searched(contents, window, max(1, -(-total // SHARD))), "matches")
-    placed = segments.select("segment", "row", "start").join(found, "segment")
+    placed = join_common(segments.select("segment", "row", "start"), found, ["segment"], "copies")
     ranges = placed.select("row", F.expr("transform(ranges, r -> r + start)").alias("ranges"))
-    return described, ranges.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    ranges = materialize(ranges.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    discard(*made, found)
+    return described, ranges
 
 
 def _contents(segments: DataFrame) -> DataFrame:
@@ -339,14 +349,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each word of a window of ``window`` words whose sequence starts anywhere else, in the
     same text too, is removed; windows are judged on the input. Null and blank texts have no
-    words; texts shorter than a window keep all; equal rows count as elsewhere to each other.
+    words; texts shorter than a window keep all; equal rows count as elsewhere to each other;
+    null and equal ids are kept as they are. An empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
+    docs = stable(docs)
     described, ranges = repeated_passages(docs, id_col, text_col, window)
-    base = numbered(docs).select(F.col(ROW).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    base = row_table(docs, text=F.col(text_col).cast("binary"))
     cut = materialize(_cut(base.join(ranges, "row").select("row", "text", "ranges")), "cut")
     texts = described.groupBy("text_key").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
-    per_text = texts.join(cut, "row", "left").select("text_key", "copies", "n_removed", "kept")
-    rows = described.select("id", "text_key", "n_words", "sha").join(per_text, "text_key")
+    per_text = materialize(texts.join(cut, "row", "left").select("text_key", "copies", "n_removed", "kept"), "texts")
+    rows = join_common(described.select("id", "text_key", "n_words", "sha"), per_text, ["text_key"], "copies")
+    discard(ranges, cut)
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return rows.select(
         F.col("id").alias(id_col),

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnwork.llm.rows import chosen, numbered, ordinals
+from cairnwork.llm.rows import chosen, join_common, ordinals, row_table, stable
 from cairnwork.storage import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -91,13 +91,13 @@ def pivot(mass: np.ndarray, fraction: np.ndarray, keys: np.ndarray, eps: float =
     return f, held
 
 
-SCHEMA = "source string, id string, size bigint, rows bigint, key bigint, base int, frac double, bucket bigint, done boolean"
+SCHEMA = "source string, id string, size bigint, rows bigint, key bigint, base int, more bigint, frac double, bucket bigint, done boolean"
 
 
 def _round_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    order = np.lexsort([pdf["key"], -pdf["size"] * pdf["rows"]])  # the largest first, so that what is left is small
+    order = np.lexsort([pdf["key"], -pdf["size"]])  # the largest first, so that what is left is small
     pdf = pdf.iloc[order].reset_index(drop=True)
-    frac, held = pivot((pdf["size"] * pdf["rows"]).to_numpy(float), pdf["frac"].to_numpy(float), pdf["key"].to_numpy())
+    frac, held = pivot(pdf["size"].to_numpy(float), pdf["frac"].to_numpy(float), pdf["key"].to_numpy())
     return pdf.assign(frac=frac, done=np.arange(len(pdf)) != held)
 
 
@@ -107,31 +107,36 @@ def _round_last(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(frac=np.where(out["done"], out["frac"], np.array(last, dtype=float)), done=True)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", per_bucket: int = 20_000, fan_in: int = 64) -> DataFrame:
-    """``(id_col, source, size, source_size, target, copies, rows)``: one row for each distinct (id, source, size).
+def _mark(source: str) -> Column:
+    """A source as a key that is never null."""
+    return F.struct(F.col(source).isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("mark")
 
-    ``rows`` says how many rows of ``docs`` have that id, source and size; they take the same
-    ``copies`` (0 to 3). A source of any size is dealt by hash into buckets of about
-    ``per_bucket`` rows, so a source with most rows is rounded by many tasks. Null sources
-    are a source; null texts have no words and take no part. An empty table gives no rows.
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", per_bucket: int = 2_000, fan_in: int = 64) -> DataFrame:
+    """``(id_col, source, size, source_size, target, copies, extra, rows)``: one row for each distinct (id, source, size).
+
+    ``rows`` says how many rows of ``docs`` have that id, source and size. Each takes ``copies``
+    (0 to 3) and ``extra`` of them one more: rows that are alike share whole copies among
+    them and only the part of one row that is left over is rounded. A source of any size is
+    dealt by hash into buckets of about ``per_bucket`` rows, so a source with most rows is
+    rounded by many tasks. Null sources are a source; null and empty texts have no words and
+    take no part; null ids are one id. An empty table gives no rows; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     units = materialize(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "units")
     targets = source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")))
-    counts = units.groupBy("source").agg(F.count("*").alias("_n"))
-    totals = targets.join(counts, targets.source.eqNullSafe(counts.source)).select(
-        targets.source.alias("_source"), "source_size", "target", F.ceil(F.col("_n") / per_bucket).cast("bigint").alias("_buckets")
-    )
-    totals = materialize(totals, "targets")
+    counts = units.groupBy("source").agg(F.count("*").alias("units"))
+    totals = targets.select(_mark("source"), "source_size", "target").join(counts.select(_mark("source"), "units"), "mark")
+    totals = materialize(totals.withColumn("buckets", F.ceil(F.col("units") / per_bucket).cast("bigint")), "targets")
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    expected = units.join(totals, units.source.eqNullSafe(totals["_source"])).withColumn("_copies", F.when(F.col("size") > 0, copies).otherwise(0.0))
-    key = F.xxhash64("id", "size")
+    expected = join_common(units.withColumn("mark", _mark("source")), totals, ["mark"], "units").withColumn("share", F.when(F.col("size") > 0, copies).otherwise(0.0))
+    key, over = F.xxhash64("id", "size"), (F.col("share") - F.floor("share")) * F.col("rows")
     dealt = expected.select(
-        "source", F.col("id").cast("string").alias("id"), "size", "rows", key.alias("key"), F.floor("_copies").cast("int").alias("base"), (F.col("_copies") - F.floor("_copies")).alias("frac"),
-        F.pmod(F.xxhash64(key), "_buckets").alias("bucket"), F.lit(False).alias("done"),
+        "source", F.col("id").cast("string").alias("id"), "size", "rows", key.alias("key"), F.floor("share").cast("int").alias("base"), F.floor(over).cast("bigint").alias("more"),
+        (over - F.floor(over)).alias("frac"), F.pmod(F.xxhash64(key), "buckets").alias("bucket"), F.lit(False).alias("done"),
     )
-    most = totals.agg(F.max("_buckets")).first()[0] or 1
+    most = totals.agg(F.max("buckets")).first()[0] or 1
     state = materialize(dealt.groupBy("source", "bucket").applyInPandas(_round_bucket, SCHEMA), "rounded")
     finished = [state.where("done")]
     while most > 1:
@@ -143,18 +148,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounded = finished[0]
     for more in finished[1:]:
         rounded = rounded.unionByName(more)
-    out = rounded.join(totals, rounded.source.eqNullSafe(totals["_source"]))
-    return out.select(F.col("id").cast(kind).alias(id_col), "source", "size", "source_size", "target", (F.col("base") + F.round("frac")).cast("bigint").alias("copies"), "rows")
+    out = join_common(rounded.withColumn("mark", _mark("source")), totals, ["mark"], "units")
+    extra = (F.col("more") + F.round("frac")).cast("bigint")
+    return out.select(F.col("id").cast(kind).alias(id_col), "source", "size", "source_size", "target", F.col("base").cast("bigint").alias("copies"), extra.alias("extra"), "rows")
 
 
 def mixed_digest(docs: DataFrame) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``: one row for each row of ``docs``."""
-    out = mix(docs).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """``(doc_id, size, source_size, target, taken)``: one row for each row of ``docs``; rows of one id, source and size may change places.
+
+    Nulls, empty texts and empty tables as in ``mix``; ties between sources can't be, as they are distinct.
+    """
+    out = mix(docs).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    taken = (F.col("copies") + (F.col("place") <= F.col("extra")).cast("bigint")) * F.col("size")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", per_bucket: int = 2_000) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, in docs' columns, whatever their names.
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, in docs' columns."""
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    rows = numbered(docs).select("_row_id", F.col(id_col).alias("_i"), F.col(source_col).cast("string").alias("_s"), word_count(F.col(text_col)).alias("_z"))
-    return chosen(docs, rows.join(plan, F.expr("_i <=> _id AND _s <=> _source AND _z = _size")), F.col("copies"))
+    Rows without words are never taken. Of rows of one id, source and size the first by file
+    and place take the extra copies. An empty table gives no rows.
+    """
+    docs = stable(docs)
+    plan = mix(docs, id_col, text_col, source_col, per_bucket).where("size > 0 AND copies + extra > 0")
+    plan = plan.select(F.col(id_col).alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", "extra", "rows")
+    rows = row_table(docs, id=F.col(id_col), source=F.col(source_col).cast("string"), size=word_count(F.col(text_col)))
+    dealt = materialize(rows.join(plan, F.expr("id <=> p_id AND source <=> p_source AND size = p_size")), "dealt")
+    uneven = F.expr("extra > 0 AND extra < rows")
+    first = F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("row")) <= F.col("extra")
+    parts = [dealt.where(~uneven).withColumn("one", F.col("extra") > 0), dealt.where(uneven).withColumn("one", first)]
+    taken = parts[0].unionByName(parts[1]).select("row", (F.col("copies") + F.col("one").cast("bigint")).alias("taken"))
+    return chosen(docs, taken.where("taken > 0"), "taken")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnwork.llm.components import connected_components
-from cairnwork.llm.rows import ROW, chosen, numbered
+from cairnwork.llm.rows import chosen, join_common, row_table, stable
 from cairnwork.storage import materialize
 
 # Shingle width in words, least similarity in hundredths, MinHash bands and hashes of a band.
@@ -100,9 +100,9 @@ def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", b
     """
     keyed = classes.select("fp", "n", "row", F.explode("keys").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("fp", "n")).alias("one"), F.min_by(F.struct("fp", "n"), F.xxhash64("key", "fp")).alias("two")).where("m > 1")
-    shared = materialize(keyed.join(counts, "key"), "bands")
+    shared = materialize(join_common(keyed, materialize(counts, "band-counts"), ["key"], "m"), "bands")
     wanted = shared.select("fp", "row").distinct()
-    texts = numbered(docs).select(F.col(ROW).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    texts = row_table(docs, text=F.col(text_col).cast("binary"))
     sets = materialize(texts.join(wanted, "row").select("fp", "text").mapInArrow(_sets, "fp bigint, shingles array<bigint>"), "shingle-sets")
 
     cold, hot = shared.where(F.col("m") <= bucket), shared.where(F.col("m") > bucket)
@@ -134,13 +134,15 @@ def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", b
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 16) -> DataFrame:
-    """The rows of ``docs`` (a table read from files) that stay, with all their columns: of each
-    component of links the row with the least id, the first in the scan of equal ones, a null id
-    last. Texts without words are one component."""
-    rows = numbered(docs).select(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.col(ROW).alias("row")).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    """The rows of ``docs`` that stay, with all their columns as they are: of each component of links
+    the row with the least id, the first by file and place of equal ones, a null id last. Texts
+    without words (null, empty, blank) are one component. An empty table gives no rows."""
+    docs = stable(docs)
+    rows = row_table(docs, id=F.col(id_col), text=F.col(text_col).cast("binary"))
+    rows = rows.select(F.struct(F.col("id").isNull().alias("z"), "id", "row").alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
     signed = materialize(rows.mapInArrow(_signatures, f"row {kind}, fp bigint, n int, keys array<bigint>"), "signatures")
     classes = materialize(signed.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("row").alias("rep")).withColumn("row", F.col("rep.row")), "classes")
     labels = connected_components(similar_links(classes, docs, text_col, bucket))
     rooted = classes.join(labels, classes.fp == labels.node, "left").select("rep", F.coalesce("label", "fp").alias("root"))
-    return chosen(docs, rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias(ROW)))
+    return chosen(docs, rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias("row")))

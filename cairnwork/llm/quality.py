@@ -109,13 +109,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a ranker on at most ``sample`` labelled rows, the least by a hash of the id.
 
     Rows that ``held_out`` names and rows with a null id or label are not used; an id with
-    several labels takes their rounded mean. The sample, bounded by the parameter, is
-    broadcast to find its texts, and only its features come to the driver.
+    several labels takes their rounded mean, an id with several texts the least one. The
+    sample, bounded by the parameter, is broadcast to find its texts, and only its features
+    come to the driver. Only the id and the text of ``docs`` and doc_id and quality of ``labels`` are read.
     """
-    known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).alias("good"))
-    known = known.where(F.col("_id").isNotNull() & ~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    found = docs.join(F.broadcast(known), docs[id_col] == F.col("_id")).select(F.col(text_col).cast("binary").alias("t"), "good")
-    got = found.mapInArrow(_feature_batches, "x array<double>, good boolean").limit(sample).toArrow()
+    known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg((F.avg("quality") >= 0.5).alias("good"))
+    known = known.where(F.col("id").isNotNull() & ~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).cast("binary").alias("text"), F.first("good").alias("good"))
+    got = found.select("text", "good").mapInArrow(_feature_batches, "x array<double>, good boolean").toArrow()
     if not got.num_rows:
         return fit_pairs(np.zeros((0, FEATURES)), np.zeros(0, dtype=bool))
     x = np.array(got.column("x").to_pylist(), dtype=float)
@@ -124,29 +126,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_pairs(x[order], good[order])
 
 
-def score(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``; the score reads the text alone. Null texts score as empty ones."""
-    names = docs.columns
+def _scored(docs: DataFrame, ranker: Ranker, text: Column, carried: Column) -> DataFrame:
+    """``(carried, score)`` for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array([features(t.as_py()) for t in batch.column(len(names))], dtype=float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ranker.score(x), pa.float64())], names=[*batch.schema.names[:-1], "_score"])
+            if batch.num_rows:
+                x = np.array([features(t.as_py()) for t in batch.column(1)], dtype=float)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranker.score(x), pa.float64())], names=["carried", "score"])
 
-    schema = docs.select("*", F.lit(0.0).alias("_score")).schema
-    out = docs.select("*", F.col(text_col).cast("binary").alias("_bytes")).mapInArrow(run, schema)
-    return out.withColumnRenamed("_score", "score")
+    source = docs.select(carried.alias("carried"), text.cast("binary").alias("text"))
+    return source.mapInArrow(run, source.select("carried", F.lit(0.0).alias("score")).schema)
+
+
+def score(docs: DataFrame, ranker: Ranker, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the column ``name``, which it must not have yet; the score reads the text alone. Null texts score as empty ones."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}")
+    return _scored(docs, ranker, F.col(text_col), F.struct("*")).select("carried.*", F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
-    """``(id_col, held_out, score, predicted)`` for each row of ``docs``; an empty table gives no rows."""
-    ranker = train(docs, labels, id_col, text_col, sample)
-    scored = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ranker)
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """``(id_col, held_out, score, predicted)`` for each row of ``docs``.
+
+    Null and empty texts are scored as texts without features; equal texts score alike; a row
+    with a null id is scored and not held out. An empty table gives no rows; without labels of
+    both kinds every score is 0.5. Other columns, whatever their names, are not read.
+    """
+    scored = _scored(docs, train(docs, labels, id_col, text_col, sample), F.col(text_col), F.col(id_col))
+    return scored.select(F.col("carried").alias(id_col), held_out(F.col("carried")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are predicted good, in docs' columns."""
-    return score(docs, train(docs, labels, id_col, text_col), text_col).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that ``classify`` predicts good, in docs' columns, whatever their names."""
+    scored = _scored(docs, train(docs, labels, id_col, text_col), F.col(text_col), F.struct("*"))
+    return scored.where(F.col("score") >= THRESHOLD).select("carried.*")

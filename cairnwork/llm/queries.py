@@ -35,7 +35,7 @@ def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(load(spark, sf_dir, "documents")).drop("_row_id")
+    return exact.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
