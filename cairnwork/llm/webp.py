@@ -1,18 +1,21 @@
 """Lossless WebP (VP8L) pixels: a decoder to numpy arrays and the writer for byte payloads.
 
 The decoder reads prefix codes (with meta codes), back-references and the colour cache and
-inverts the predictor, cross-colour, subtract-green and palette transforms. Images whose
-pixels are literals of one changing channel, which the payload writer makes, are decoded
-by looking up every bit position at once and following the chain from run to run of whole
-symbols. The writer's prefix code is the same for all texts, so the decoder meets the same
-code lengths again and keeps their tables.
+inverts the predictor, cross-colour, subtract-green and palette transforms. The writer
+stores bytes as a grey image and gives each image prefix codes of its own, back-references
+to runs that stood before, a palette with packed pixels where an image has few values, and
+a predictor where differences have less entropy; of the forms that may be shorter it keeps
+the shortest. (A grey pixel is one literal of one code, so a colour cache hit can't be
+shorter, and without colours there is nothing for cross-colour to take away.) Images of one
+changing channel are decoded by looking up all bit positions of a span at once and
+following the chain from token to token.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -33,13 +36,11 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_FACTOR = 0x1E35A7BD
-SIDE = 16384  # the most pixels a side can have
-ROW = 576
+ROW, HIGH = 576, 2048  # pixels of a row, and the most rows of an image: a longer text is several images
 EIGHT = np.arange(8, dtype=np.uint32)
-LONGEST, MANY = 15, 8  # bits of the longest code, and symbols looked up at a time
 SPAN = 1 << 15  # bytes of a stream looked up at a time
-#: Bytes that are common in texts, the most common first, with the padding byte 255 among them.
-COMMON = b" etaoinsrlh\xffdcumfpgwybv,.kxjqz"
+SHORTEST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 120  # lengths of back-references that the writer makes, and their greatest distance
+CODE_BITS = 12  # the longest code that the writer makes
 
 
 class Bits:
@@ -82,21 +83,7 @@ class Code:
             if len(spread) != 1 << self.bits:
                 raise ValueError("a prefix code is not complete")
             self.table = spread[_reversed(self.bits)]
-        self.look = self.many = None
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each value of the next LONGEST bits: the whole symbols they start with, how many, and their bits."""
-        if self.many is None:
-            window, mask = np.arange(1 << LONGEST), (1 << self.bits) - 1
-            symbols, counts, ends = np.zeros((len(window), MANY), dtype=np.uint8), np.zeros(len(window), dtype=np.uint8), np.zeros(len(window), dtype=np.uint8)
-            for k in range(MANY):
-                found = self.table[window >> ends & mask]
-                fits = (counts == k) & (ends + (found & 15) <= LONGEST)
-                symbols[fits, k] = found[fits] >> 4
-                ends[fits] += (found[fits] & 15).astype(np.uint8)
-                counts[fits] += 1
-            self.many = symbols, counts, ends
-        return self.many
+        self.look = None
 
     def read(self, bits: Bits) -> int:
         if not self.bits:
@@ -143,55 +130,82 @@ def _prefixed(symbol: int, bits: Bits) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-_groups: dict[tuple[int, ...], list[tuple[int, int, list[Code]]]] = {}
+def _extra_bits(symbols: np.ndarray) -> np.ndarray:
+    return np.where(symbols < 4, 0, (symbols - 2) >> 1)
 
 
-def _read_group(bits: Bits, sizes: tuple[int, ...]) -> list[Code]:
-    """The codes of a group. The last ones read are kept with the bits that describe them."""
-    known = _groups.setdefault(sizes, [])
-    for width, value, codes in known:
-        if bits.peek(width) == value:
-            bits.at += width
-            return codes
-    start = bits.at
-    codes = [_read_code(bits, s) for s in sizes]
-    width, bits.at = bits.at - start, start
-    known.append((width, bits.read(width), codes))
-    del known[:-8]
-    return codes
+EXTRA = _extra_bits(np.arange(max(LENGTH_CODES, DISTANCE_CODES)))
 
 
-def _literals(bits: Bits, code: Code, n: int) -> np.ndarray:
-    """``n`` symbols of one code: all bit positions are looked up together, then the runs of symbols are followed."""
-    if not code.bits:
-        return np.full(n, code.table[0] >> 4, dtype=np.int64)
-    out, (symbols, counts, ends) = [], code.runs()
-    while n > 0:  # a bounded run of bytes at a time
+@lru_cache(maxsize=8)
+def _near_distances(width: int) -> np.ndarray:
+    """Distances of the codes 1 to 120 in an image of that width."""
+    return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
+
+
+def _values(symbols: np.ndarray, fields: np.ndarray) -> np.ndarray:
+    """Lengths or distance codes from their prefix symbols and the bits after them."""
+    extra = EXTRA[symbols]
+    return np.where(symbols < 4, symbols, (2 + (symbols & 1)) << extra) + (fields & ((1 << extra) - 1)) + 1
+
+
+def _one_channel(bits: Bits, green: Code, far: Code, n: int, width: int) -> np.ndarray:
+    """``n`` greens of an image whose pixels are literals of that code and back-references."""
+    if not green.bits:
+        if green.table[0] >> 4 > 255:
+            raise ValueError("a back-reference leaves the image")
+        return np.full(n, green.table[0] >> 4, dtype=np.int64)
+    out, done = bytearray(n), 0
+    view, near = np.frombuffer(out, dtype=np.uint8), _near_distances(width)
+    while done < n:  # a bounded run of bytes at a time
         first = bits.at >> 3
-        span = min((n * code.bits + 15) // 8 + 1, SPAN, len(bits.data) - 2 - first)
-        raw = np.frombuffer(bits.data, dtype=np.uint8, count=max(span, 0) + 2, offset=min(first, len(bits.data) - 2)).astype(np.uint32)
-        words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-        windows = ((words[:, None] >> EIGHT) & np.uint32((1 << LONGEST) - 1)).ravel()
-        steps = ends.take(windows).tobytes()
-        p, stop, places = bits.at & 7, len(steps), []
+        span = min(SPAN, len(bits.data) - 16 - first)
+        if span <= 0:
+            raise ValueError("the image ends early")
+        raw = np.frombuffer(bits.data, dtype=np.uint8, count=span + 12, offset=first).astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        windows = (words[:, None] >> EIGHT).ravel()  # at least 25 bits from each bit position
+        stop = 8 * span
+        found = green.table.take(windows[:stop] & np.uint32((1 << green.bits) - 1))
+        steps = (found & 15).astype(np.uint8)
+        at = np.flatnonzero(found >= 256 << 4)
+        after = at + steps[at] + EXTRA[(found[at] >> 4) - 256]
+        named = far.table.take(windows[after] & np.uint32((1 << far.bits) - 1))
+        steps[at] = after - at + (named & 15) + EXTRA[named >> 4]
+        steps, p, places = steps.tobytes(), bits.at & 7, []
         append = places.append
         while p < stop:
             append(p)
             p += steps[p]
-        met = windows[places]
-        own = counts[met]
-        upto = np.cumsum(own)
-        whole = int(np.searchsorted(upto, n, side="right"))
-        if whole:
-            out.append(symbols[met[:whole]][np.arange(MANY) < own[:whole, None]])
-            n -= int(upto[whole - 1])
-        bits.at = first * 8 + (places[whole] if whole < len(places) else p)
-        if whole < len(places):  # fewer symbols are left than the next run has
-            out.append(np.array([code.read(bits) for _ in range(n)], dtype=np.uint8))
-            n = 0
-        if bits.at > 8 * (len(bits.data) - 16):
-            raise ValueError("the image ends early")
-    return np.concatenate(out).astype(np.int64)
+        met = np.array(places)
+        symbols = found[met] >> 4
+        refs = np.flatnonzero(symbols > 255)
+        own = symbols[refs] - 256
+        after = met[refs] + (found[met[refs]] & 15)
+        sizes = np.ones(len(met), dtype=np.int64)
+        sizes[refs] = _values(own, windows[after].astype(np.int64))
+        ends = done + np.cumsum(sizes)
+        whole = int(np.searchsorted(ends, n)) + 1  # tokens up to the one that fills the image
+        if whole <= len(met):
+            bits.at, (met, symbols, ends, sizes) = first * 8 + (places[whole] if whole < len(met) else p), (x[:whole] for x in (met, symbols, ends, sizes))
+            refs = refs[: np.searchsorted(refs, whole)]
+            if ends[-1] > n:
+                raise ValueError("a back-reference leaves the image")
+        else:
+            bits.at = first * 8 + p
+        begins = ends - sizes
+        literal = symbols < 256
+        view[begins[literal]] = symbols[literal]
+        after = met[refs] + (found[met[refs]] & 15) + EXTRA[symbols[refs] - 256]
+        named = far.table.take(windows[after] & np.uint32((1 << far.bits) - 1))
+        back = _values(named >> 4, windows[after + (named & 15)].astype(np.int64))
+        back = np.where(back > 120, back - 120, near[np.minimum(back, 120)])
+        if np.any(back > begins[refs]):
+            raise ValueError("a back-reference leaves the image")
+        for a, b, d in zip(begins[refs].tolist(), ends[refs].tolist(), back.tolist(), strict=True):
+            out[a:b] = out[a - d : b - d] if d >= b - a else (out[a - d : a] * (-(-(b - a) // d)))[: b - a]
+        done = int(ends[-1])
+    return view.astype(np.int64)
 
 
 def _image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
@@ -203,11 +217,11 @@ def _image(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarra
         across = (width + (1 << block) - 1) >> block
         meta = (_image(bits, across, (height + (1 << block) - 1) >> block) >> 8 & 0xFFFF).tolist()
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    groups = [_read_group(bits, sizes) for _ in range(max(meta) + 1 if meta else 1)]
+    groups = [[_read_code(bits, s) for s in sizes] for _ in range(max(meta) + 1 if meta else 1)]
     n, (green, red, blue, alpha, far) = width * height, groups[0]
-    if meta is None and not cache_bits and not (red.bits or blue.bits or alpha.bits) and int(green.table.max()) >> 4 < 256:
+    if meta is None and not cache_bits and not (red.bits or blue.bits or alpha.bits):
         fixed = int(alpha.table[0]) >> 4 << 24 | int(red.table[0]) >> 4 << 16 | int(blue.table[0]) >> 4
-        return _literals(bits, green, n) << 8 | fixed
+        return _one_channel(bits, green, far, n, width) << 8 | fixed
     out, cache, i = [0] * n, [0] * (1 << cache_bits), 0
     entered = 0  # pixels before this place are in the cache
     while i < n:
@@ -269,6 +283,14 @@ def _unpredict(argb: np.ndarray, modes: np.ndarray, block: int, width: int, heig
     p = _channels(argb).reshape(height, width, 4)
     p[0, 0, 0] += 255
     p[0] = np.cumsum(p[0], axis=0) & 255
+    only = np.unique(modes)
+    if len(only) == 1 and only[0] in (1, 2):  # left everywhere, or top: running sums
+        p[:, 0] = np.cumsum(p[:, 0], axis=0) & 255
+        if only[0] == 1:
+            p[1:] = np.cumsum(p[1:], axis=1) & 255
+        else:
+            p[:, 1:] = np.cumsum(p[:, 1:], axis=0) & 255
+        return p.reshape(-1, 4) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
     for y in range(1, height):
         p[y, 0] = (p[y, 0] + p[y - 1, 0]) & 255
         for x in range(1, width):
@@ -372,18 +394,25 @@ class Writer:
     """Collects (value, bits) fields and packs them, lowest bit first."""
 
     def __init__(self) -> None:
-        self.values: list[np.ndarray] = []
-        self.widths: list[np.ndarray] = []
+        self.fields: list[tuple[int, int]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(self, *fields: tuple[int, int]) -> None:
-        self.many(np.array([v for v, _ in fields]), np.array([w for _, w in fields]))
+        self.fields += fields
 
     def many(self, values: np.ndarray, widths: np.ndarray) -> None:
-        self.values.append(values)
-        self.widths.append(widths)
+        self._close()
+        self.parts.append((values, widths))
+
+    def _close(self) -> None:
+        if self.fields:
+            self.parts.append(tuple(np.array(self.fields, dtype=np.int64).T))
+            self.fields = []
 
     def bytes(self) -> bytes:
-        values, widths = np.concatenate(self.values).astype(np.uint64), np.concatenate(self.widths).astype(np.int64)
+        self._close()
+        values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        values, widths = values.astype(np.uint64), widths.astype(np.int64)
         if not widths.all():
             values, widths = values[widths > 0], widths[widths > 0]
         ends = np.cumsum(widths)
@@ -397,7 +426,7 @@ class Writer:
         return out.tobytes()[: (total + 7) // 8]
 
     def code(self, lengths: np.ndarray) -> None:
-        """A prefix code's lengths; nothing used is written as the symbol 0."""
+        """A prefix code's lengths, runs of zeros in short; nothing used is written as the symbol 0."""
         used = np.flatnonzero(lengths)
         if len(used) < 2 and (not len(used) or used[0] < 256):
             self.put((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
@@ -405,48 +434,191 @@ class Writer:
         if len(used) == 2 and used[1] < 256:
             self.put((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
             return
-        last = int(used[-1]) + 1
-        own = _lengths(np.bincount(lengths[:last], minlength=19), 7)
+        tokens, at = [], 0
+        for place, length in zip(used.tolist(), lengths[used].tolist(), strict=True):
+            gap, at = place - at, place + 1
+            while gap >= 3:
+                run = min(gap, 138)
+                tokens.append((18, run - 11, 7) if run > 10 else (17, run - 3, 3))
+                gap -= run
+            tokens += [(0, 0, 0)] * gap
+            tokens.append((length, 0, 0))
+        symbols = np.array([t[0] for t in tokens])
+        own = _lengths(np.bincount(symbols, minlength=19), 7)
         kept = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s] or k == 3) + 1
-        self.put((0, 1), (kept - 4, 4), *((int(own[s]), 3) for s in CODE_LENGTH_ORDER[:kept]), (1, 1), *([(3, 3), (max(last, 2) - 2, 8)] if last < 258 else [(5, 3), (last - 2, 12)]))
-        lone = (own > 0).sum() == 1
-        self.many(_codes(own)[lengths[:last]], np.zeros(last, dtype=np.int64) if lone else own[lengths[:last]])
+        count = max(len(tokens), 2) - 2
+        self.put((0, 1), (kept - 4, 4), *((int(own[s]), 3) for s in CODE_LENGTH_ORDER[:kept]), (1, 1), *([(3, 3), (count, 8)] if count < 256 else [(5, 3), (count, 12)]))
+        codes, widths = _codes(own).tolist(), own.tolist() if (own > 0).sum() > 1 else [0] * 19
+        for symbol, value, width in tokens:
+            self.put((codes[symbol], widths[symbol]), (value, width))
 
 
-@lru_cache(maxsize=1)
-def text_code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What all written files share: the fields after the sizes, and codes and widths of two bytes at a time.
+def _prefix_fields(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix symbols, extra values) of lengths or distance codes."""
+    less = values - 1
+    high = np.frexp(np.maximum(less, 1).astype(float))[1] - 1
+    symbols = np.where(less < 4, less, 2 * high + (less >> np.maximum(high - 1, 0) & 1))
+    return symbols, less & ((1 << EXTRA[symbols]) - 1)
 
-    The fields name the subtract-green transform and the prefix codes. The code of green
-    follows a rule: common bytes of texts weigh less by an eighth from one to the next,
-    other signs and the bytes of accented letters less, and every byte has a code.
-    """
-    weights = np.full(256, 4)
-    weights[[10, *range(32, 127)]], weights[128:192], weights[194:196] = 300, 200, 400
-    weights[list(COMMON)] = 100_000 * 0.88 ** np.arange(len(COMMON))
-    lengths, none, opaque = _lengths(weights, 12), np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
-    opaque[255] = 1
-    head = Writer()
-    head.put((1, 1), (2, 2), (0, 1), (0, 1), (0, 1))  # subtract green, no other transform, no colour cache, no meta codes
-    for own in (lengths, none, none, opaque, none):
-        head.code(own)
-    codes, low, high = _codes(lengths), np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
-    return np.concatenate(head.values), np.concatenate(head.widths), codes[low] | codes[high] << lengths[low], lengths[low] + lengths[high]
 
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of a symbol."""
+    used = counts[counts > 0]
+    return float(np.log2(used.sum()) - (used * np.log2(used)).sum() / used.sum())
 
-def write_grey(samples: np.ndarray) -> bytes:
-    """A WebP file of a grey image of 8-bit samples, an even number in a row, with the prefix code of ``text_code``."""
-    height, width = samples.shape
-    fields, sizes, codes, widths = text_code()
-    out, pairs = Writer(), samples.ravel().view("<u2")
-    out.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4))
-    out.many(fields, sizes)
-    out.many(codes[pairs], widths[pairs])
-    data = out.bytes()
+
+def _common(data: bytes, a: int, b: int, most: int) -> int:
+    """How many bytes from ``a`` equal those from ``b``, at most ``most``; the first SHORTEST do."""
+    n = SHORTEST
+    while n + 16 <= most and data[a + n : a + n + 16] == data[b + n : b + n + 16]:
+        n += 16
+    while n < most and data[a + n] == data[b + n]:
+        n += 1
+    return n
+
+
+def back_references(data: bytes, bits_each: float) -> np.ndarray:
+    """(start, length, distance) of runs that stand before, from left to right, each to the nearest place with the same first bytes.
+
+    A run is taken if it needs fewer bits than its literals at ``bits_each``.
+    """
+    n, out, at = len(data) - SHORTEST + 1, [], 0
+    if n > 1:
+        keys = np.ndarray((n,), dtype="<u8", buffer=data + bytes(8), strides=(1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
+        order = np.argsort(keys, kind="stable")
+        same = np.flatnonzero(np.diff(keys[order]) == 0)
+        ends, before = order[same + 1], order[same]
+        placed = np.argsort(ends)
+        near = ends[placed] - before[placed] <= FARTHEST
+        for i, j in zip(ends[placed][near].tolist(), before[placed][near].tolist(), strict=True):
+            if i >= at:
+                size = _common(data, i, j, min(LONGEST, len(data) - i))
+                # codes of about 7 and 5 bits, and their extra bits
+                if size * bits_each > 8 + size.bit_length() + (i - j + 120).bit_length():
+                    out.append((i, size, i - j))
+                    at = i + size
+                else:  # a long run that doesn't pay isn't compared again from each of its bytes
+                    at = i + size - SHORTEST
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def _write_pixels(writer: Writer, greens: np.ndarray, width: int, fixed: tuple[int, int, int], main: bool) -> None:
+    """An entropy-coded image whose pixels are (alpha, red, blue) of ``fixed`` and the greens."""
+    data = greens.tobytes()
+    counts = np.bincount(greens, minlength=256)
+    refs = back_references(data, _entropy(counts))
+    start, size, back = refs.T
+    inside = np.zeros(len(greens) + 1, dtype=np.int64)
+    inside[start] += 1
+    inside[start + size] -= 1
+    literal = np.cumsum(inside[:-1]) == 0
+    if len(refs):
+        counts = np.bincount(greens[literal], minlength=256)
+    near = {d: c for c, d in reversed(list(enumerate(_near_distances(width).tolist()))) if c}
+    length_symbols, length_extra = _prefix_fields(size)
+    far_symbols, far_extra = _prefix_fields(np.array([near.get(d, d + 120) for d in back.tolist()], dtype=np.int64))
+    green = _lengths(np.concatenate([counts, np.bincount(length_symbols, minlength=LENGTH_CODES)]), CODE_BITS)
+    far = _lengths(np.bincount(far_symbols, minlength=DISTANCE_CODES), CODE_BITS)
+    alpha, red, blue = fixed
+    writer.put((0, 1), *([(0, 1)] if main else []))  # no colour cache, no meta codes
+    for lengths in (green, *(np.bincount([x], minlength=256) for x in (red, blue, alpha)), far):
+        writer.code(lengths)
+    if (green > 0).sum() < 2:
+        return  # one green everywhere takes no bits
+    codes, widths = _codes(green), green
+    values, bits = np.where(literal, codes[greens], 0).astype(np.uint64), np.where(literal, widths[greens], 0)
+    if len(refs):
+        far_codes, far_widths = _codes(far), far if (far > 0).sum() > 1 else np.zeros_like(far)
+        value, shift = np.zeros(len(refs), dtype=np.uint64), np.zeros(len(refs), dtype=np.int64)
+        for field, width_ in (
+            (codes[256 + length_symbols], widths[256 + length_symbols]), (length_extra, EXTRA[length_symbols]), (far_codes[far_symbols], far_widths[far_symbols]), (far_extra, EXTRA[far_symbols]),
+        ):
+            value |= field.astype(np.uint64) << shift.astype(np.uint64)
+            shift += width_
+        values[start], bits[start] = value, shift
+    writer.many(values, bits)
+
+
+def _file(width: int, height: int, write: Callable[[Writer], None]) -> bytes:
+    writer = Writer()
+    writer.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4))
+    write(writer)
+    data = writer.bytes()
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + bytes(len(data) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
+def _grey(samples: np.ndarray, predictor: int) -> bytes:
+    """The form with the subtract-green transform, and a predictor everywhere (1 left, 2 top) if it isn't 0."""
+    height, width = samples.shape
+    greens, alpha = samples, 255
+
+    def write(writer: Writer) -> None:
+        writer.put((1, 1), (2, 2))
+        if predictor:
+            writer.put((1, 1), (0, 2), (7, 3))  # one mode for each block of 512 pixels a side
+            across, down = (-(-v // 512) for v in (width, height))
+            _write_pixels(writer, np.full(across * down, predictor, dtype=np.uint8), across, (255, 0, 0), False)
+        writer.put((0, 1))
+        _write_pixels(writer, greens.ravel(), width, (alpha, 0, 0), True)
+
+    if predictor:
+        greens, alpha = _differences(samples, predictor), 0
+    return _file(width, height, write)
+
+
+def _differences(samples: np.ndarray, predictor: int) -> np.ndarray:
+    """What a predictor leaves: the first row is predicted from the left, the first column from the top."""
+    out = samples.copy()
+    out[0, 1:] -= samples[0, :-1]
+    out[1:, 0] -= samples[:-1, 0]
+    if predictor == 1:
+        out[1:, 1:] -= samples[1:, :-1]
+    else:
+        out[1:, 1:] -= samples[:-1, 1:]
+    return out
+
+
+def _palette(samples: np.ndarray, colours: np.ndarray) -> bytes:
+    """The form with a palette of at most 16 colours, two, four or eight pixels in a byte."""
+    height, width = samples.shape
+    pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+    index = np.zeros(256, dtype=np.uint8)
+    index[colours] = np.arange(len(colours))
+    across = -(-width // (1 << pack))
+    cells = np.pad(index[samples], ((0, 0), (0, (across << pack) - width))).reshape(height, across, 1 << pack)
+    greens = (cells << (np.arange(1 << pack, dtype=np.uint8) * (8 >> pack))).sum(axis=2, dtype=np.uint8)
+
+    def write(writer: Writer) -> None:
+        writer.put((1, 1), (3, 2), (len(colours) - 1, 8))
+        steps = np.diff(colours, prepend=0)
+        channel = _lengths(np.bincount(steps, minlength=256), CODE_BITS)
+        opaque = _lengths(np.bincount([255, *[0] * (len(colours) - 1)], minlength=256), CODE_BITS)
+        writer.put((0, 1))
+        grown = np.concatenate([channel, np.zeros(LENGTH_CODES, dtype=np.int64)])
+        for lengths in (grown, channel, channel, opaque, np.zeros(DISTANCE_CODES, dtype=np.int64)):
+            writer.code(lengths)
+        for k, step in enumerate(steps.tolist()):
+            for lengths, symbol in ((channel, step), (channel, step), (channel, step), (opaque, 0 if k else 255)):
+                if (lengths > 0).sum() > 1:
+                    writer.put((int(_codes(lengths)[symbol]), int(lengths[symbol])))
+        writer.put((0, 1))
+        _write_pixels(writer, greens.ravel(), across, (255, 0, 0), True)
+
+    return _file(width, height, write)
+
+
+def write_grey(samples: np.ndarray) -> bytes:
+    """A WebP file of a grey image of 8-bit samples, the shortest of the forms that may pay."""
+    counts = np.bincount(samples.ravel(), minlength=256)
+    colours, plain = np.flatnonzero(counts), _entropy(counts)
+    forms = [_grey(samples, 0)]
+    if 1 < len(colours) <= 16:
+        forms.append(_palette(samples, colours))
+    forms += [_grey(samples, p) for p in (1, 2) if _entropy(np.bincount(_differences(samples, p).ravel(), minlength=256)) < 0.9 * plain]
+    return min(forms, key=len)
+
+
 def decode_webp(file: bytes) -> np.ndarray:
     """Pixels of a lossless WebP file as (height, width, 4): alpha, red, green, blue."""
     if file[:4] != b"RIFF" or file[8:12] != b"WEBP":
@@ -461,12 +633,12 @@ def decode_webp(file: bytes) -> np.ndarray:
 
 
 def store(text: bytes) -> bytes:
-    """The text, padded with bytes 255 to a positive multiple of 576, as one WebP file, or more one after another if it is longer than an image can be high."""
+    """The text, padded with bytes 255 to a positive multiple of 576, as one WebP file of at most HIGH rows, or several one after another."""
     n = max(1, -(-len(text) // ROW)) * ROW
     samples = np.full(n, 255, dtype=np.uint8)
     samples[: len(text)] = np.frombuffer(text, dtype=np.uint8)
     rows = samples.reshape(-1, ROW)
-    return b"".join(write_grey(rows[at : at + SIDE]) for at in range(0, len(rows), SIDE))
+    return b"".join(write_grey(rows[at : at + HIGH]) for at in range(0, len(rows), HIGH))
 
 
 def load_samples(media: bytes) -> np.ndarray:
@@ -497,7 +669,12 @@ def media_row(text: bytes) -> tuple:
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The media digest of each row of ``docs``; see ``store`` and ``features``. Null texts count as empty."""
+    """``(id_col, *COLUMNS)`` for each row of ``docs``; see ``store`` and ``features``.
+
+    Null texts count as empty, which is one row of padding; equal texts, repeated rows too,
+    have equal values; null and equal ids are kept. Long texts are stored whole, an image after
+    another. An empty table gives no rows; other columns, whatever their names, are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
