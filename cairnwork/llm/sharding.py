@@ -1,11 +1,13 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Regions hold racks and racks hold shards. Each shard draws, for each key, an exponential
-variate with its weight as rate from a hash of (key, shard). The draw of a rack or region
-is the least draw below it, which is again exponential with the summed weight as rate, so
-descending by least draws picks each level's child in proportion to its weight. A change
-of one shard's weight, or a new shard, changes only draws on the path above it: rows move
-only into (or out of) that shard's subtree, and a new shard takes rows only into itself.
+Regions hold racks and racks hold shards. At each level every node draws, for each key, an
+exponential variate with its weight (the sum of the weights below it) as rate from a hash
+of the key and its own place in the tree, and the least draw wins: so children are picked
+in proportion to their weights, and only the racks of the region that won, and the shards
+of the rack that won, draw at all. A node whose weight is the same draws the same. So if a
+shard's weight changes, rows move only into or out of its region, within it only into or
+out of its rack, and within that only into or out of the shard. A tree grows by a shard in
+a region of its own, which takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -29,46 +31,45 @@ def layout(shards: int, weights: Sequence[float] | None = None, per_rack: int =
     return [rack[i : i + racks] for i in range(0, len(rack), racks)]
 
 
-def _draw(key: str, shard: int, weight: float) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of the hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(shard)), 12)
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(weight)
+def grown_by(tree: Tree, shard: int, weight: float = 1.0) -> Tree:
+    """The tree with one more shard, in a region of its own."""
+    return [*tree, [[(shard, weight)]]]
 
 
-def _least(draws: list[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+def _weight(node: list | tuple) -> float:
+    return node[1] if isinstance(node, tuple) else sum(_weight(child) for child in node)
 
 
-def _descend(draws: list[Column], values: list[Column]) -> Column:
-    """The value at the least draw; the first of equal draws."""
-    out, least = values[-1], _least(draws)
-    for draw, value in list(zip(draws, values, strict=True))[-2::-1]:
-        out = F.when(draw == least, value).otherwise(out)
-    return out
+def _draw(key: str, place: str, weight: float) -> Column:
+    """-ln(u) / weight with u in (0, 1) from 52 bits of the hash."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(place)), 12)
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(weight)
 
 
-def tree_shard(tree: Tree, draw_of: dict[int, Column]) -> Column:
-    """The shard reached by descending region, rack and shard levels; ``draw_of`` has each shard's draw."""
-    regions = []
-    for region in tree:
-        racks = [([draw_of[s] for s, _ in rack], [F.lit(s) for s, _ in rack]) for rack in region]
-        at = [_least(draws) for draws, _ in racks]
-        regions.append((_least(at), _descend(at, [_descend(d, v) for d, v in racks])))
-    return _descend([d for d, _ in regions], [v for _, v in regions])
+def tree_shard(key: str, node: list | tuple, place: str = "") -> Column:
+    """The shard reached by descending from ``node``; of equal draws the first wins. Branches that aren't taken aren't computed."""
+    if isinstance(node, tuple):
+        return F.lit(node[0])
+    if len(node) == 1:
+        return tree_shard(key, node[0], f"{place}/0")
+    draws = [_draw(key, f"{place}/{i}", _weight(child)) for i, child in enumerate(node)]
+    best = F.array_position(F.array(*draws), F.array_min(F.array(*draws)))
+    out = tree_shard(key, node[-1], f"{place}/{len(node) - 1}")
+    for i in range(len(node) - 2, -1, -1):
+        out = F.when(best == i + 1, tree_shard(key, node[i], f"{place}/{i}")).otherwise(out)
+    return out
 
 
 def assign(rows: DataFrame, key: str, shards: int, weights: Sequence[float] | None = None, grown: int | None = None) -> DataFrame:
-    """``rows`` with ``shard`` (0 to shards - 1) and, if ``grown`` is given, ``grown_shard`` for that many shards.
+    """``rows`` with ``shard`` (0 to shards - 1) and, if ``grown`` is given, ``grown_shard`` for the tree grown to that many shards.
 
-    A null key is one more key and goes to one shard.
+    A null key is one more key and goes to one shard. Columns of those two names are replaced.
     """
-    most = max(shards, grown or 0)
-    with_draws = rows.withColumns({f"_draw{s}": _draw(key, s, float(weights[s]) if weights else 1.0) for s in range(most)})
-    draws = {s: F.col(f"_draw{s}") for s in range(most)}
-    out = with_draws.withColumn("shard", tree_shard(layout(shards, weights), draws))
-    if grown:
-        out = out.withColumn("grown_shard", tree_shard(layout(grown, weights), draws))
-    return out.drop(*[f"_draw{s}" for s in range(most)])
+    tree = layout(shards, weights)
+    out = rows.withColumn("shard", tree_shard(key, tree))
+    for s in range(shards, grown or shards):
+        tree = grown_by(tree, s, float(weights[s]) if weights and s < len(weights) else 1.0)
+    return out.withColumn("grown_shard", tree_shard(key, tree)) if grown else out
 
 
 def with_slots(rows: DataFrame, shard: str, *order: str) -> DataFrame:
