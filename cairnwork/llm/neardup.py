@@ -1,10 +1,12 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash with Golay keys first, MinHash bands for the rest.
 
 Two texts link if their sets of five-word shingles have a similarity of 0.8 or more.
-Candidates share a MinHash band: 25 bands of 5 least hashes, so a pair at similarity 0.8
-shares none with a chance of (1 - 0.8^5)^25 = 5 in 100,000, and a pair above it with less.
-Each candidate is verified on the whole sets. (A 64-bit SimHash can't give these candidates:
-pairs at 0.8 differ in about 10 bits, and keys that allow so many are shared by most texts.)
+Candidates come from the SimHash operator (fingerprints at two or fewer differing bits, by
+Golay-code keys), which joins most of a large group of close copies at little cost. Pairs at
+0.8 differ in about 10 of 64 bits, and keys that allow so many would be shared by most texts;
+so the pairs that fingerprints can't reach share a MinHash band: of 25 bands of 5 least
+hashes a pair at similarity 0.8 shares none with a chance of (1 - 0.8^5)^25 = 5 in 100,000,
+and a pair above it with less. Each candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 
 from cairnwork.llm.components import connected_components
 from cairnwork.llm.rows import chosen, join_common, row_table, stable
-from cairnwork.storage import materialize
+from cairnwork.llm.simhash import fingerprint_links
+from cairnwork.storage import discard, materialize
 
 # Shingle width in words, least similarity in hundredths, MinHash bands and hashes of a band.
 WIDTH, PERCENT, BANDS, DEPTH = 5, 80, 25, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, size=BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 1 << 12
+SENT = 1 << 19  # shingles that are sent at a time
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,22 +64,40 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def print_of(shingles: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles; 0 for an empty one."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(shingles), CHUNK):
+        ones += np.unpackbits(shingles[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, sizes, keys = [], [], []
+        fps, prints, sizes, keys = [], [], [], []
         for x in batch.column(1):
             s = shingle_set(x.as_py())
             fps.append(xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0)
+            prints.append(print_of(s))
             sizes.append(len(s))
             keys.append(band_keys(s))
         fp = np.array(fps, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "fp", "n", "keys"])
+        columns = [batch.column(0), pa.array(fp), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "print", "n", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(x.as_py()).view(np.int64) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+        ids, sets, held = [], [], 0
+        for fp, x in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(fp)
+            sets.append(shingle_set(x.as_py()).view(np.int64))
+            held += len(sets[-1])
+            if held > SENT:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+                ids, sets, held = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -91,45 +113,68 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return fit.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _print_candidates(classes: DataFrame) -> DataFrame:
+    """Pairs of sets by the SimHash operator: of one fingerprint, each with the first; of linked fingerprints, their first ones."""
+    first = materialize(classes.groupBy("print").agg(F.min(F.struct("fp", "n")).alias("first"), F.count("*").alias("m")), "prints")
+    same = join_common(classes, first.where("m > 1"), ["print"], "m")
+    pairs = same.select(F.col("first.fp").alias("u"), F.col("first.n").alias("nu"), F.col("fp").alias("v"), F.col("n").alias("nv"))
+    links = fingerprint_links(first.select(F.col("print").alias("fp")))
+    ends = [first.select(F.col("print").alias(c), F.col("first").alias(f"{c}_first")) for c in ("u", "v")]
+    near = links.join(ends[0], "u").join(ends[1], "v")
+    return pairs.union(near.select("u_first.fp", "u_first.n", "v_first.fp", "v_first.n"))
+
+
 def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", bucket: int = 16) -> DataFrame:
-    """Links ``(u, v)`` whose closure joins all verified candidates among the distinct sets ``(fp, n, keys, row)``.
+    """Links ``(u, v)`` whose closure joins all verified candidates among the distinct sets ``(fp, print, n, keys, row)``.
 
-    All pairs of a band key with at most ``bucket`` sets are verified. In a fuller key each
-    set is held against the key's least set, then against another one; after that only pairs
-    that aren't yet in one component can add anything, and all of those are verified.
+    SimHash candidates are verified first. All pairs of a band key with at most ``bucket`` sets
+    are verified. In a fuller key each set is held against the most central one (a text that
+    others were copied from shares more keys with them than they do with each other), then
+    against the most central one of those that aren't in the key's largest component; after
+    that only pairs that aren't yet in one component can add anything, and all of those are verified.
     """
     keyed = classes.select("fp", "n", "row", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("fp", "n")).alias("one"), F.min_by(F.struct("fp", "n"), F.xxhash64("key", "fp")).alias("two")).where("m > 1")
-    shared = materialize(join_common(keyed, materialize(counts, "band-counts"), ["key"], "m"), "bands")
-    wanted = shared.select("fp", "row").distinct()
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "band-counts")
+    shared = materialize(join_common(keyed, counts, ["key"], "m"), "bands")
+    printed = materialize(_ordered(_print_candidates(classes)), "print-candidates")
+    wanted = shared.select("fp", "row").union(classes.join(printed.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "row")).distinct()
     texts = row_table(docs, text=F.col(text_col).cast("binary"))
     sets = materialize(texts.join(wanted, "row").select("fp", "text").mapInArrow(_sets, "fp bigint, shingles array<bigint>"), "shingle-sets")
 
     cold, hot = shared.where(F.col("m") <= bucket), shared.where(F.col("m") > bucket)
-    u, v = F.col("fp").alias("u"), F.col("fp").alias("v")
-    listed = cold.select("key", u, F.col("n").alias("nu")).join(cold.select("key", v, F.col("n").alias("nv")), "key").where("u < v").drop("key")
-    stars = {k: hot.select(F.col(f"{k}.fp").alias("u"), F.col(f"{k}.n").alias("nu"), v, F.col("n").alias("nv")) for k in ("one", "two")}
-    tested = materialize(_ordered(listed.union(stars["one"])), "candidates")
-    links = materialize(_verified(tested, sets), "links")
-    if hot.isEmpty():
-        return links
-
-    def placed() -> DataFrame:
-        """Members of fuller keys that hold more than one component, with their component and the key's largest."""
-        named = hot.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
-        named = materialize(named.select("key", "fp", "n", "two", "root"), "placed")
-        sizes = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots"))
-        return named.join(sizes.where("roots > 1"), "key")
+    u, v, nu, nv = F.col("fp").alias("u"), F.col("fp").alias("v"), F.col("n").alias("nu"), F.col("n").alias("nv")
+    tested, links = printed, materialize(_verified(printed, sets), "links")
 
     def added(pairs: DataFrame) -> None:
         nonlocal links, tested
         new = materialize(_ordered(pairs).join(tested, ["u", "v"], "left_anti"), "candidates")
         tested, links = tested.union(new), links.union(materialize(_verified(new, sets), "links"))
 
-    added(placed().select(F.col("two.fp").alias("u"), F.col("two.n").alias("nu"), v, F.col("n").alias("nv")))
+    central = materialize(hot.join(hot.groupBy("fp").agg(F.sum("m").alias("weight")), "fp"), "central")
+    leader = F.max_by(F.struct("fp", "n"), F.struct("weight", "fp"))
+    leaders = materialize(central.groupBy("key").agg(leader.alias("one"), F.count("*").alias("members")), "leaders")
+    first = join_common(central, leaders, ["key"], "members")
+    listed = cold.select("key", u, nu).join(cold.select("key", v, nv), "key").where("u < v").drop("key")
+    added(listed.union(first.select(F.col("one.fp").alias("u"), F.col("one.n").alias("nu"), v, nv)))
+    if central.isEmpty():
+        discard(sets, shared, counts, central)
+        return links
+
+    def placed() -> DataFrame:
+        """Members of fuller keys that hold more than one component, with their component and the key's largest."""
+        named = central.join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
+        named = materialize(named.select("key", "fp", "n", "weight", "root"), "placed")
+        sizes = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("members"))
+        return join_common(named, materialize(sizes.where("roots > 1"), "apart"), ["key"], "members")
+
+    apart = materialize(placed(), "apart")
+    outside = apart.where("root <> main").groupBy("key").agg(leader.alias("two"), F.max("members").alias("members"))
+    second = join_common(apart.drop("members"), materialize(outside, "leaders"), ["key"], "members")
+    added(second.select(F.col("two.fp").alias("u"), F.col("two.n").alias("nu"), v, nv))
     left = materialize(placed(), "apart")
-    few = left.where("root <> main").select("key", u, F.col("n").alias("nu"), F.col("root").alias("ru"))
-    added(few.join(left.select("key", v, F.col("n").alias("nv"), F.col("root").alias("rv")), "key").where("ru <> rv").select("u", "nu", "v", "nv"))
+    few = left.where("root <> main").select("key", u, nu, F.col("root").alias("ru"))
+    added(few.join(left.select("key", v, nv, F.col("root").alias("rv")), "key").where("ru <> rv").select("u", "nu", "v", "nv"))
+    discard(sets, shared, counts, central)
     return links
 
 
@@ -141,8 +186,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = row_table(docs, id=F.col(id_col), text=F.col(text_col).cast("binary"))
     rows = rows.select(F.struct(F.col("id").isNull().alias("z"), "id", "row").alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
-    signed = materialize(rows.mapInArrow(_signatures, f"row {kind}, fp bigint, n int, keys array<bigint>"), "signatures")
-    classes = materialize(signed.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("row").alias("rep")).withColumn("row", F.col("rep.row")), "classes")
+    signed = materialize(rows.mapInArrow(_signatures, f"row {kind}, fp bigint, print bigint, n int, keys array<bigint>"), "signatures")
+    classes = materialize(signed.groupBy("fp").agg(F.first("print").alias("print"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("row").alias("rep")).withColumn("row", F.col("rep.row")), "classes")
     labels = connected_components(similar_links(classes, docs, text_col, bucket))
     rooted = classes.join(labels, classes.fp == labels.node, "left").select("rep", F.coalesce("label", "fp").alias("root"))
     return chosen(docs, rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias("row")))
