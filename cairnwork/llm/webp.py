@@ -13,7 +13,6 @@ following the chain from token to token.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,9 +37,9 @@ NEAR = (
 CACHE_FACTOR = 0x1E35A7BD
 ROW, HIGH = 576, 2048  # pixels of a row, and the most rows of an image: a longer text is several images
 EIGHT = np.arange(8, dtype=np.uint32)
-SPAN = 1 << 15  # bytes of a stream looked up at a time
+SPAN, MARGIN = 1 << 15, 64  # bytes of a stream looked up at a time, and more bits than a token has (4 of them have under 256)
 SHORTEST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 120  # lengths of back-references that the writer makes, and their greatest distance
-CODE_BITS = 12  # the longest code that the writer makes
+CODE_BITS, MULTIPLIER = 12, 0x9E3779B97F4A7C15  # the longest code that the writer makes, and of the hash of the first bytes of a run
 
 
 class Bits:
@@ -72,12 +71,12 @@ class Code:
     """A canonical prefix code: ``table[next bits]`` is symbol << 4 | length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         self.only = int(used[0]) if len(used) == 1 else -1
         if len(used) < 2:
             self.bits, self.table = 0, np.array([(self.only if len(used) else 0) << 4])
         else:
-            used = used[np.argsort(lengths[used], kind="stable")]
+            used = used[lengths[used].argsort(kind="stable")]
             self.bits = int(lengths[used[-1]])
             spread = np.repeat(used << 4 | lengths[used], 1 << (self.bits - lengths[used]))
             if len(spread) != 1 << self.bits:
@@ -108,17 +107,26 @@ def _read_code(bits: Bits, size: int) -> Code:
         own[CODE_LENGTH_ORDER[k]] = bits.read(3)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     code, at, last = Code(own), 0, 8
+    look, mask, only = code.table.tolist(), (1 << code.bits) - 1, max(code.only, 0)
+    ahead, left = 0, 0  # bits taken from the stream and how many of them are left
     while at < size and most > 0:
+        if left < 14:  # a symbol and its extra bits
+            bits.at -= left
+            ahead, left = bits.peek(1024), 1024
+            bits.at += left
         most -= 1
-        symbol = code.read(bits)
+        symbol, width = (look[ahead & mask] >> 4, look[ahead & mask] & 15) if code.bits else (only, 0)
+        ahead, left = ahead >> width, left - width
         if symbol < 16:
             lengths[at] = symbol
             last, at = symbol or last, at + 1
         else:
-            run, value = {16: (3, last), 17: (3, 0), 18: (11, 0)}[symbol]
-            run += bits.read({16: 2, 17: 3, 18: 7}[symbol])
+            run, value, width = ((3, last, 2), (3, 0, 3), (11, 0, 7))[symbol - 16]
+            run += ahead & ((1 << width) - 1)
+            ahead, left = ahead >> width, left - width
             lengths[at : at + run] = value
             at += run
+    bits.at -= left
     return Code(lengths)
 
 
@@ -172,12 +180,21 @@ def _one_channel(bits: Bits, green: Code, far: Code, n: int, width: int) -> np.n
         after = at + steps[at] + EXTRA[(found[at] >> 4) - 256]
         named = far.table.take(windows[after] & np.uint32((1 << far.bits) - 1))
         steps[at] = after - at + (named & 15) + EXTRA[named >> 4]
-        steps, p, places = steps.tobytes(), bits.at & 7, []
-        append = places.append
+        one = np.arange(stop + MARGIN, dtype=np.int32)  # the place after each token, then after two and four
+        one[:stop] += steps
+        two = one[one]
+        jumps, p, fourth = (two[two] - np.arange(stop + MARGIN, dtype=np.int32)).astype(np.uint8).tobytes(), bits.at & 7, []
+        append = fourth.append
         while p < stop:
             append(p)
-            p += steps[p]
-        met = np.array(places)
+            p += jumps[p]
+        each = np.empty((len(fourth), 4), dtype=np.int64)
+        each[:, 0] = fourth
+        each[:, 1], each[:, 2] = one[each[:, 0]], two[each[:, 0]]
+        each[:, 3] = one[each[:, 2]]
+        met = each.ravel()
+        met = met[: np.searchsorted(met, stop)]
+        p = int(one[met[-1]])
         symbols = found[met] >> 4
         refs = np.flatnonzero(symbols > 255)
         own = symbols[refs] - 256
@@ -187,7 +204,7 @@ def _one_channel(bits: Bits, green: Code, far: Code, n: int, width: int) -> np.n
         ends = done + np.cumsum(sizes)
         whole = int(np.searchsorted(ends, n)) + 1  # tokens up to the one that fills the image
         if whole <= len(met):
-            bits.at, (met, symbols, ends, sizes) = first * 8 + (places[whole] if whole < len(met) else p), (x[:whole] for x in (met, symbols, ends, sizes))
+            bits.at, (met, symbols, ends, sizes) = first * 8 + (int(met[whole]) if whole < len(met) else p), (x[:whole] for x in (met, symbols, ends, sizes))
             refs = refs[: np.searchsorted(refs, whole)]
             if ends[-1] > n:
                 raise ValueError("a back-reference leaves the image")
@@ -342,14 +359,14 @@ def decode_vp8l(data: bytes) -> np.ndarray:
             argb = _uncross(argb, each)
         elif kind == 2:
             green = argb >> 8 & 255
-            argb = argb & 0xFF00FF00 | ((argb >> 16) + green & 255) << 16 | argb + green & 255
+            argb = argb & 0xFF00FF00 | (argb & 0xFF00FF) + green * 0x10001 & 0xFF00FF
         else:
             index = argb >> 8 & 255
             if block:
                 each = 8 >> block
                 index = (index.reshape(height, -1, 1) >> (np.arange(1 << block) * each) & ((1 << each) - 1)).reshape(height, -1)[:, :w].ravel()
             argb = np.concatenate([own, np.zeros(256 - len(own), dtype=np.int64)])[index]
-    return _channels(argb).astype(np.uint8).reshape(height, width, 4)
+    return argb.astype(">u4").view(np.uint8).reshape(height, width, 4)
 
 
 def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
@@ -360,14 +377,22 @@ def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
     if len(used) == 1:
         out[used[0]] = 1
     while len(used) > 1:
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        up, k = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heap[0]
-            up[i] = up[j] = k
-            heapq.heapreplace(heap, (a + b, k))
-            k += 1
+        n = len(used)
+        by_weight = sorted(range(n), key=weights.__getitem__)
+        queue, made = [weights[i] for i in by_weight], []  # leaves and inner nodes, both rising: the two least stand at their heads
+        up, leaf, inner = [0] * (2 * n - 1), 0, 0
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner == len(made) or queue[leaf] <= made[inner]):
+                    total += queue[leaf]
+                    up[by_weight[leaf]] = k
+                    leaf += 1
+                else:
+                    total += made[inner]
+                    up[n + inner] = k
+                    inner += 1
+            made.append(total)
         depth = [0] * len(up)
         for i in range(len(up) - 2, -1, -1):
             depth[i] = depth[up[i]] + 1
@@ -394,20 +419,23 @@ class Writer:
     """Collects (value, bits) fields and packs them, lowest bit first."""
 
     def __init__(self) -> None:
-        self.fields: list[tuple[int, int]] = []
+        self.values: list[int] = []
+        self.widths: list[int] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def put(self, *fields: tuple[int, int]) -> None:
-        self.fields += fields
+        for value, width in fields:
+            self.values.append(value)
+            self.widths.append(width)
 
     def many(self, values: np.ndarray, widths: np.ndarray) -> None:
         self._close()
         self.parts.append((values, widths))
 
     def _close(self) -> None:
-        if self.fields:
-            self.parts.append(tuple(np.array(self.fields, dtype=np.int64).T))
-            self.fields = []
+        if self.values:
+            self.parts.append((np.array(self.values, dtype=np.uint64), np.array(self.widths, dtype=np.int64)))
+            self.values, self.widths = [], []
 
     def bytes(self) -> bytes:
         self._close()
@@ -425,11 +453,15 @@ class Writer:
         out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
         return out.tobytes()[: (total + 7) // 8]
 
+    def lone(self, symbol: int) -> None:
+        """A prefix code of one symbol under 256, which takes no bits."""
+        self.put((1, 1), (0, 1), (1, 1), (symbol, 8))
+
     def code(self, lengths: np.ndarray) -> None:
         """A prefix code's lengths, runs of zeros in short; nothing used is written as the symbol 0."""
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) < 2 and (not len(used) or used[0] < 256):
-            self.put((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8))
+            self.lone(int(used[0]) if len(used) else 0)
             return
         if len(used) == 2 and used[1] < 256:
             self.put((1, 1), (1, 1), (1, 1), (int(used[0]), 8), (int(used[1]), 8))
@@ -450,7 +482,8 @@ class Writer:
         self.put((0, 1), (kept - 4, 4), *((int(own[s]), 3) for s in CODE_LENGTH_ORDER[:kept]), (1, 1), *([(3, 3), (count, 8)] if count < 256 else [(5, 3), (count, 12)]))
         codes, widths = _codes(own).tolist(), own.tolist() if (own > 0).sum() > 1 else [0] * 19
         for symbol, value, width in tokens:
-            self.put((codes[symbol], widths[symbol]), (value, width))
+            self.values.append(codes[symbol] | value << widths[symbol])
+            self.widths.append(widths[symbol] + width)
 
 
 def _prefix_fields(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -485,12 +518,15 @@ def back_references(data: bytes, bits_each: float) -> np.ndarray:
     n, out, at = len(data) - SHORTEST + 1, [], 0
     if n > 1:
         keys = np.ndarray((n,), dtype="<u8", buffer=data + bytes(8), strides=(1,)) & np.uint64((1 << 8 * SHORTEST) - 1)
-        order = np.argsort(keys, kind="stable")
-        same = np.flatnonzero(np.diff(keys[order]) == 0)
-        ends, before = order[same + 1], order[same]
-        placed = np.argsort(ends)
-        near = ends[placed] - before[placed] <= FARTHEST
-        for i, j in zip(ends[placed][near].tolist(), before[placed][near].tolist(), strict=True):
+        halves = (keys * np.uint64(MULTIPLIER) >> np.uint64(32)).astype("<u4").view("<u2").reshape(-1, 2)
+        order = halves[:, 0].argsort(kind="stable")  # 16-bit numbers are sorted by counting
+        order = order[halves[order, 1].argsort(kind="stable")]
+        sorted_keys = keys[order]
+        same = (sorted_keys[1:] == sorted_keys[:-1]).nonzero()[0]
+        before = np.full(n, -1, dtype=np.int64)
+        before[order[same + 1]] = order[same]
+        ends = (before >= np.maximum(np.arange(n) - FARTHEST, 0)).nonzero()[0]
+        for i, j in zip(ends.tolist(), before[ends].tolist(), strict=True):
             if i >= at:
                 size = _common(data, i, j, min(LONGEST, len(data) - i))
                 # codes of about 7 and 5 bits, and their extra bits
@@ -521,8 +557,10 @@ def _write_pixels(writer: Writer, greens: np.ndarray, width: int, fixed: tuple[i
     far = _lengths(np.bincount(far_symbols, minlength=DISTANCE_CODES), CODE_BITS)
     alpha, red, blue = fixed
     writer.put((0, 1), *([(0, 1)] if main else []))  # no colour cache, no meta codes
-    for lengths in (green, *(np.bincount([x], minlength=256) for x in (red, blue, alpha)), far):
-        writer.code(lengths)
+    writer.code(green)
+    for symbol in (red, blue, alpha):
+        writer.lone(symbol)
+    writer.code(far)
     if (green > 0).sum() < 2:
         return  # one green everywhere takes no bits
     codes, widths = _codes(green), green
