@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnwork.operators.places import group_places
+
 
 def conditional_pivot(df: DataFrame, keys: Sequence[str], field: str, value: str, columns: Mapping[str, str]) -> DataFrame:
     """Long to wide: the greatest ``value`` of each named field, one column each, in one aggregate."""
@@ -14,8 +17,37 @@ def conditional_pivot(df: DataFrame, keys: Sequence[str], field: str, value: str
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], digits: int = 4) -> DataFrame:
-    """Linear-interpolated quantiles, rounded."""
-    return df.groupBy(*keys).agg(*[F.round(F.percentile(value, F.lit(p)), digits).alias(f"p{round(100 * p)}") for p in points])
+    """Linear-interpolated quantiles, rounded, in one aggregate that holds a group's distinct values: for values of bounded number."""
+    found = df.groupBy(*keys).agg(F.percentile(value, F.lit([float(p) for p in points])).alias("_p"))
+    return found.select(*keys, *[F.round(F.col("_p")[i], digits).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+
+
+def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], digits: int = 4) -> DataFrame:
+    """``quantiles`` for groups of any size: a range sort gives each value its place, and only the neighbours of the wanted places are picked.
+
+    Keys without a value have no row. No task holds more than its range of the sort.
+    """
+    placed = group_places(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [value])
+    at = {f"p{round(100 * p)}": (F.col("_count") - 1) * F.lit(float(p)) for p in points}
+    aggs = []
+    for name, place in at.items():
+        low, high = F.floor(place), F.ceil(place)
+        aggs += [F.max(F.when(F.col("_place") == low, F.col(value))).alias(f"_low_{name}"), F.max(F.when(F.col("_place") == high, F.col(value))).alias(f"_high_{name}"), F.max(place - low).alias(f"_part_{name}")]
+    wanted = reduce(lambda a, b: a | b, [(F.col("_place") == F.floor(p)) | (F.col("_place") == F.ceil(p)) for p in at.values()])
+    picked = placed.where(wanted).groupBy(*keys).agg(*aggs)
+    return picked.select(*keys, *[F.round(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}"), digits).alias(n) for n in at])
+
+
+def with_total(df: DataFrame, key: str, aggs: Sequence[Column], label: str = "TOTAL") -> DataFrame:
+    """The aggregates of each key, and of all rows under ``label``, in one pass."""
+    rows = df.rollup(key).agg(*aggs, F.grouping(key).alias("_all"))
+    return rows.withColumn(key, F.when(F.col("_all") == 1, label).otherwise(F.col(key))).drop("_all")
+
+
+def counts_around(df: DataFrame, key: str, before: Column, after: Column) -> DataFrame:
+    """Counts of each key among the rows of two conditions, and the difference, in one pass; keys with neither are left out."""
+    counts = df.groupBy(key).agg(F.count_if(before).alias("before"), F.count_if(after).alias("after"))
+    return counts.where("before > 0 OR after > 0").withColumn("delta", F.col("after") - F.col("before"))
 
 
 def bucket(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -40,7 +72,7 @@ def signed_totals(df: DataFrame, key: str, seeks: Column, size: Column, low: flo
 def with_all_labels(df: DataFrame, name: str, labels: Sequence[str], zero: Sequence[str] = ()) -> DataFrame:
     """A row for each of ``labels``, empty ones too; columns in ``zero`` are 0 there, others null."""
     every = df.sparkSession.createDataFrame([(x,) for x in labels], f"`{name}` string")
-    return F.broadcast(every).join(df, name, "left").fillna(0, list(zero))
+    return every.join(df, name, "left").fillna(0, list(zero))
 
 
 def count_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -60,4 +92,4 @@ def compare_matrix(facts: DataFrame, ids: Sequence, id_col: str, field: str, val
     wanted = facts.sparkSession.createDataFrame(list(enumerate(order)), f"position int, `{id_col}` {facts.schema[id_col].dataType.simpleString()}")
     cells = facts.where(F.col(id_col).isin(order) & F.col(field).isin(list(columns)))
     wide = conditional_pivot(cells, [id_col], field, value, {c: c for c in columns})
-    return F.broadcast(wanted).join(wide, id_col, "left").select("position", id_col, *[F.coalesce(F.col(c).cast("string"), F.lit(placeholder)).alias(c) for c in columns])
+    return wanted.join(wide, id_col, "left").select("position", id_col, *[F.coalesce(F.col(c).cast("string"), F.lit(placeholder)).alias(c) for c in columns])

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, NumericType, StringType, StructType
 
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "is blank", "is not blank")
 
@@ -30,6 +31,79 @@ def condition(field: str, op: str, value: object = None, numeric: bool = False)
     return F.coalesce(~is_blank(field) & finite & test, F.lit(False))
 
 
+def pushed(schema: StructType, field: str, op: str, value: object = None) -> Column:
+    """``condition`` for a column of known type, as comparisons that reach the scan; null where ``condition`` is false.
+
+    Numbers compare as numbers, where values that aren't finite lie beyond one of two bounds,
+    and texts as texts; other types go through ``condition``.
+    """
+    if op not in OPERATORS:
+        raise ValueError(f"unknown operator {op}")
+    column, kind = F.col(f"`{field}`"), schema[field].dataType
+    text, inf = isinstance(kind, StringType), float("inf")
+    if not text and not isinstance(kind, NumericType):
+        return condition(field, op, value)
+    if op == "is blank":
+        return column.isNull() | (column == "") if text else column.isNull()
+    if op == "is not blank":
+        return column.isNotNull() & (column != "") if text else column.isNotNull()
+    right = F.lit(str(value) if text else value)
+    test = {"=": column == right, "!=": column != right, ">": column > right, ">=": column >= right, "<": column < right, "<=": column <= right}[op]
+    if text:
+        return test if op == "=" and value != "" else test & (column != "")
+    if isinstance(kind, FractionalType):  # NaN counts as more than infinity
+        test = test & (column < inf) if op in (">", ">=", "!=") else test
+        test = test & (column > -inf) if op in ("<", "<=", "!=") else test
+    return test
+
+
+class Search:
+    """Filters, columns and a sort field over a table, checked against the fields that may be asked for."""
+
+    def __init__(self, df: DataFrame, allowed: Sequence[str], companions: dict[str, str] | None = None):
+        self.df, self.allowed, self.companions = df, set(allowed), companions or {}
+
+    def check(self, filters: Sequence[tuple[str, str, object]], columns: Sequence[str] = (), sort: str | None = None) -> None:
+        """An error that names what may not be asked for."""
+        for field, op, _ in filters:
+            if field not in self.allowed:
+                raise ValueError(f"unsupported filter field: {field}")
+            if op not in OPERATORS:
+                raise ValueError(f"unsupported filter operator: {op}")
+        for name in columns:
+            if name not in self.allowed:
+                raise ValueError(f"unsupported column: {name}")
+        if sort is not None and sort not in self.allowed:
+            raise ValueError(f"unsupported sort field: {sort}")
+
+    def required(self, filters: Sequence[tuple[str, str, object]]) -> list[str]:
+        """The fields that must hold a value: those of all filters but ``is blank``, each once, in order."""
+        return list(dict.fromkeys(field for field, op, _ in filters if op != "is blank"))
+
+    def rows(self, filters: Sequence[tuple[str, str, object]], columns: Sequence[str]) -> DataFrame:
+        """The rows that pass all filters."""
+        self.check(filters, columns)
+        return self.df.where(passing([pushed(self.df.schema, *f) for f in filters])).select(*columns)
+
+    def counts(self, filters: Sequence[tuple[str, str, object]]) -> DataFrame:
+        """The funnel of the filters, in one aggregate."""
+        self.check(filters)
+        return funnel(self.df, self.required(filters), [F.coalesce(pushed(self.df.schema, *f), F.lit(False)) for f in filters])
+
+    def companion_counts(self, filters: Sequence[tuple[str, str, object]]) -> DataFrame:
+        """One row for each filter on a field with a companion: (field, companion, compared, with_value, with_companion, without_companion).
+
+        Counted among rows that hold all required fields, in one aggregate for all filters.
+        """
+        self.check(filters)
+        has = passing([~is_blank(r) for r in self.required(filters)])
+        asked = [(i, f, self.companions[f[0]]) for i, f in enumerate(filters) if f[0] in self.companions]
+        counts = [F.struct(F.lit(f[0]).alias("field"), F.lit(c).alias("companion"), F.lit(f[1] in OPERATORS[:6]).alias("compared"),
+                           F.count_if(has & ~is_blank(f[0])).alias("with_value"), F.count_if(has & ~is_blank(f[0]) & ~is_blank(c)).alias("with_companion")) for _, f, c in asked]
+        one = self.df.agg(F.array(*counts).alias("all")).select(F.inline("all"))
+        return one.withColumn("without_companion", F.col("with_value") - F.col("with_companion"))
+
+
 def passing(filters: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, filters, F.lit(True))
 

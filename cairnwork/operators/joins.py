@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,16 @@ def year_pairs(df: DataFrame, entity: str, year: str, value: str, prior: int, la
     return a.join(b, entity)
 
 
+def paired_counts(df: DataFrame, entity: str, at: str, prior: int, latest: int) -> DataFrame:
+    """Each entity's row counts in two years, both present: one scan of the years' ranges of ``at``, which the scan can prune by, and one aggregate."""
+
+    def within(year: int) -> Column:
+        return (F.col(at) >= F.expr(f"TIMESTAMP_NTZ '{year}-01-01 00:00:00'")) & (F.col(at) < F.expr(f"TIMESTAMP_NTZ '{year + 1}-01-01 00:00:00'"))
+
+    counts = df.where(within(prior) | within(latest)).groupBy(entity).agg(F.count_if(within(prior)).alias("prior_value"), F.count_if(within(latest)).alias("latest_value"))
+    return counts.where("prior_value > 0 AND latest_value > 0")
+
+
 def latest_overlay(base: DataFrame, extra: DataFrame, on: Sequence[str], fits: str, order: Sequence, columns: Sequence[str]) -> DataFrame:
     """``base`` with ``columns`` of the first row of ``extra`` by ``order`` that fits it, null where none does.
 

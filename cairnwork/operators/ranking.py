@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnwork.operators.places import overall_places
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by ``order``; Spark plans a group limit before the shuffle."""
@@ -19,6 +21,11 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def ranked_overall(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """``df`` with 1-based places in the whole table, sorted by ranges."""
+    return overall_places(df, order, name).withColumn(name, F.col(name) + 1)
+
+
 def any_earlier(df: DataFrame, keys: Sequence[str], order: Sequence[Column], condition: Column, name: str) -> DataFrame:
     """Whether ``condition`` held in any strictly earlier row of the key."""
     rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

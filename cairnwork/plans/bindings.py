@@ -52,8 +52,9 @@ def _(s, d):
 
 @query("F_01_filter_engine", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_discount < 0.05 AND l_returnflag <> 'R' AND l_returnflag <> ''")
 def _(s, d):
-    tests = [L.condition("l_quantity", ">=", 10, True), L.condition("l_discount", "<", 0.05, True), L.condition("l_returnflag", "!=", "R"), L.condition("l_returnflag", "is not blank")]
-    return load(s, d, "lineitem").where(L.passing(tests)).select("l_orderkey", "l_linenumber", "l_quantity")
+    fields = ["l_quantity", "l_discount", "l_returnflag", "l_orderkey", "l_linenumber"]
+    tests = [("l_quantity", ">=", 10), ("l_discount", "<", 0.05), ("l_returnflag", "!=", "R"), ("l_returnflag", "is not blank", None)]
+    return L.Search(load(s, d, "lineitem"), fields).rows(tests, ["l_orderkey", "l_linenumber", "l_quantity"])
 
 
 @query("F_07_funnel", "SELECT count(*) AS in_scope, count(*) FILTER (WHERE text <> '') AS with_required, count(*) FILTER (WHERE text <> '' AND NOT n_chars >= 1000) AS failing, count(*) FILTER (WHERE text <> '' AND n_chars >= 1000) AS passing FROM documents")
@@ -109,8 +110,7 @@ def _(s, d):
 
 @query("J_19_year_pairs", "WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2) SELECT a.o_custkey, a.n AS prior_value, b.n AS latest_value FROM y a JOIN y b USING (o_custkey) WHERE a.y = 1996 AND b.y = 1997")
 def _(s, d):
-    counts = load(s, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
-    return J.year_pairs(counts, "o_custkey", "y", "n", 1996, 1997)
+    return J.paired_counts(load(s, d, "orders"), "o_custkey", "o_orderdate", 1996, 1997)
 
 
 @query("J_23_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -139,7 +139,7 @@ def _(s, d):
 
 @query("A_10_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def _(s, d):
-    return A.quantiles(load(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75, 0.9])
+    return A.ranked_quantiles(load(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75, 0.9])
 
 
 @query("A_13_histogram", "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
@@ -150,8 +150,7 @@ def _(s, d):
 @query("A_14_year_stage", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS y, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) AS total FROM orders GROUP BY 1 UNION ALL SELECT 'TOTAL', count(*) FILTER (WHERE o_orderstatus = 'F'), count(*) FILTER (WHERE o_orderstatus = 'O'), count(*) FROM orders")
 def _(s, d):
     aggs = [F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"), F.count("*").alias("total")]
-    orders = load(s, d, "orders").withColumn("y", F.year("o_orderdate").cast("string"))
-    return orders.groupBy("y").agg(*aggs).unionByName(orders.agg(*aggs).withColumn("y", F.lit("TOTAL")))
+    return A.with_total(load(s, d, "orders").withColumn("y", F.year("o_orderdate").cast("string")), "y", aggs)
 
 
 @query("A_30_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -203,8 +202,7 @@ def _(s, d):
 
 @query("W_14_rank_by_metric", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS rank FROM supplier")
 def _(s, d):
-    # one sort over a dimension; ranks over facts belong in partitions
-    return load(s, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc_nulls_last("s_acctbal"), "s_suppkey")).alias("rank"))
+    return W.ranked_overall(load(s, d, "supplier").select("s_suppkey", "s_acctbal"), [F.desc_nulls_last("s_acctbal"), F.asc("s_suppkey")]).select("s_suppkey", "rank")
 
 
 @query("J_07_latest_child", "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")

@@ -143,8 +143,8 @@ def _(s, d):
 @query("A_21_status_delta", """
     SELECT o_orderpriority, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS before, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS after, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') - count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS delta FROM orders GROUP BY 1""")
 def _(s, d):
-    orders, cut = load(s, d, "orders"), F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
-    return A.count_changes(orders.where(F.col("o_orderdate") < cut), orders.where(F.col("o_orderdate") >= cut), "o_orderpriority")
+    cut = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    return A.counts_around(load(s, d, "orders"), "o_orderpriority", F.col("o_orderdate") < cut, F.col("o_orderdate") >= cut)
 
 
 @query("A_24_action_by_priority", "SELECT user_id, arg_min(event_type, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) AS action FROM events GROUP BY 1")
