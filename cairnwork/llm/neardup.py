@@ -84,6 +84,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = np.array(fps, dtype=np.uint64).view(np.int64)
         columns = [batch.column(0), pa.array(fp), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "fp", "print", "n", "keys"])
+        pa.default_memory_pool().release_unused()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

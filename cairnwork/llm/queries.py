@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnwork.llm import bpe, exact, fmindex, licences, mixing, orc_tokens, quality, sharding, simhash, webp
+from cairnwork.llm.rows import short_batches
 from cairnwork.storage import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -14,28 +15,33 @@ VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return load(spark, sf_dir, "documents")
+
+
 def op1_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return quality.classify(_documents(spark, sf_dir), load(spark, sf_dir, "labels"))
 
 
 def op3_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_digest(load(spark, sf_dir, "documents"))
+    return mixing.mixed_digest(_documents(spark, sf_dir))
 
 
 def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licence_table(load(spark, sf_dir, "documents"))
+    return licences.licence_table(_documents(spark, sf_dir))
 
 
 def op5_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fmindex.remove_repeats(load(spark, sf_dir, "documents"))
+    return fmindex.remove_repeats(_documents(spark, sf_dir))
 
 
 def op6_exact_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(load(spark, sf_dir, "documents"))
+    return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -46,19 +52,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(load(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.round_trip_digests(_documents(spark, sf_dir), vocabulary_path())
 
 
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orc_tokens.tokens_via_orc(load(spark, sf_dir, "documents"), vocabulary_path())
+    return orc_tokens.tokens_via_orc(_documents(spark, sf_dir), vocabulary_path())
 
 
 def op9_shard_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(load(spark, sf_dir, "documents"), 16)
+    return sharding.shard_documents(_documents(spark, sf_dir), 16)
 
 
 def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.media_table(load(spark, sf_dir, "documents"))
+    return webp.media_table(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {

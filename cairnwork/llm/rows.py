@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.storage import materialize
@@ -14,6 +14,17 @@ from cairnwork.storage import materialize
 COMMON, MOST = 1000, 1000
 
 
+#: Rows of an Arrow batch of whole texts.
+BATCH = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Has the session send texts to Python in batches of at most BATCH rows: the default of 10,000 takes some 100 MB on each side for a core."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def stable(docs: DataFrame) -> DataFrame:
     """``docs`` if it is a plain scan of Parquet files, else ``docs`` written once and read back.
 
