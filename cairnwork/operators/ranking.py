@@ -36,3 +36,14 @@ def match_tier(text: Column, query: str) -> Column:
     """0 exact, 1 prefix, 2 substring, 3 other, ignoring case."""
     low, q = F.lower(text), query.lower()
     return F.when(low == q, 0).when(low.startswith(q), 1).when(low.contains(q), 2).otherwise(3)
+
+
+def pinned(df: DataFrame, id_col: str, asked_id: str, name: Column, text: str, limit: int, order: Sequence[Column], prefix: str | None = None) -> DataFrame:
+    """The best hits of a search: the row whose id is asked for first, then exact names, then names with the prefix (the text if not given).
+
+    The asked id is trimmed; ``limit`` is kept between 1 and 25.
+    """
+    low = F.lower(name)
+    kind = df.schema[id_col].dataType.simpleString()
+    tier = F.when(F.col(id_col) == F.lit(asked_id.strip()).try_cast(kind), -1).when(low == text.lower(), 0).when(low.startswith((prefix or text).lower()), 1)
+    return df.withColumn("_tier", tier).where("_tier IS NOT NULL").orderBy("_tier", *order).limit(max(1, min(25, limit))).drop("_tier")

@@ -27,3 +27,23 @@ def write_csv(df: DataFrame, path: str, section: str | None = None) -> None:
 def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     """Replaces the partitions that ``df`` has rows for and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def report_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): the rows as lines of a Markdown table, null as empty, pipes escaped."""
+    cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def replace_table(df: DataFrame, path: str) -> int:
+    """Replaces the whole table at ``path`` and returns its number of rows; readers see the old files or the new ones."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
+
+
+def replace_documents(stored: DataFrame, rows: DataFrame, key: str, required: list[str]) -> DataFrame:
+    """``stored`` with the documents of ``rows`` replaced as a whole; an error names how many rows lack a required value."""
+    missing = rows.where(" OR ".join(f"`{c}` IS NULL" for c in required)).count()
+    if missing:
+        raise ValueError(f"{missing} rows without {', '.join(required)}")
+    return stored.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.select(*stored.columns))

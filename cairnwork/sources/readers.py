@@ -69,3 +69,16 @@ def format_of(content: Column) -> Column:
     head = F.substring(content, 1, 512).cast("string")
     text = F.lower(F.ltrim(head))
     return F.when(F.substring(content, 1, 5) == F.lit(b"%PDF-"), "pdf").when(F.substring(content, 1, 4) == F.lit(b"PK\x03\x04"), "zip").when(text.startswith("<!doctype html") | text.startswith("<html"), "html").otherwise("other")
+
+
+def mapped_columns(wide: DataFrame, ids: Sequence[str], columns: dict[str, tuple[Sequence[str], str]]) -> DataFrame:
+    """``wide`` text columns under new names and types: for each, the first of the given columns that holds a value.
+
+    Words for a missing value (NULL, PrivacySuppressed, PS, NA) and blanks count as none, as does text that isn't of the type.
+    """
+
+    def value(name: str, kind: str) -> Column:
+        text = F.trim(F.col(name).cast("string"))
+        return F.when(~text.isin("", "NULL", "PrivacySuppressed", "PS", "NA"), text).try_cast(kind)
+
+    return wide.select(*ids, *[F.coalesce(*[value(c, kind) for c in names]).alias(out) for out, (names, kind) in columns.items()])
