@@ -28,7 +28,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 END = "</w>"
 SHIFT = 20
 #: Words remembered by a Python worker, pieces in one pair index, and bytes of text taken at a time.
-MEMO, BLOCK, CHUNK = 250_000, 20_000, 1 << 20
+MEMO, BLOCK, CHUNK = 400_000, 60_000, 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -190,20 +190,14 @@ def chunked(values: pa.Array) -> Iterator[list[bytes]]:
         yield part
 
 
-_memos: dict[tuple[str, bool], Memo] = {}
+_memos: dict[str, Memo] = {}
 
 
-def worker_memo(path: str, texts: bool = False) -> Memo:
-    """One memo for each vocabulary in a Python worker; it holds nothing that a rerun would miss.
-
-    With ``texts`` it holds, for each word, the number of its ids, the ids in decimal and their
-    decoded tokens, each joined by blanks, instead of the ids.
-    """
-    if (path, texts) not in _memos:
-        ids = pair_index_words(vocabulary(path))
-        token = vocabulary(path).tokens.__getitem__
-        _memos[path, texts] = Memo((lambda words: ((len(x), " ".join(map(str, x)), " ".join(map(token, x))) for x in ids(words))) if texts else ids)
-    return _memos[path, texts]
+def worker_memo(path: str) -> Memo:
+    """One memo for each vocabulary in a Python worker; it holds nothing that a rerun would miss."""
+    if path not in _memos:
+        _memos[path] = Memo(pair_index_words(vocabulary(path)))
+    return _memos[path]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,22 +234,20 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(path, texts=True)
+        memo, tokens = worker_memo(path), vocabulary(path).tokens
+        token, number = tokens.__getitem__, [str(i) for i in range(len(tokens))].__getitem__
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for part in chunked(batch.column(1)):
-                for own in memo.words(part):
-                    counts, ids, tokens = zip(*own, strict=True) if (own := list(own)) else ((), (), ())
-                    if 0 in counts:  # words of which the normaliser leaves nothing
-                        ids, tokens = filter(None, ids), (t for c, t in zip(counts, tokens, strict=True) if c)
-                    n.append(sum(counts))
-                    ids_sha.append(sha256(" ".join(ids).encode()).hexdigest())
-                    text_sha.append(sha256(" ".join(tokens).encode()).hexdigest())
+                for x in memo.texts(part):
+                    ids = list(x)
+                    n.append(len(ids))
+                    ids_sha.append(sha256(" ".join(map(number, ids)).encode()).hexdigest())
+                    text_sha.append(sha256(" ".join(map(token, ids)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, F.col(text_col).cast("binary").alias("text"))

@@ -38,7 +38,7 @@ CACHE_FACTOR = 0x1E35A7BD
 ROW, HIGH = 576, 2048  # pixels of a row, and the most rows of an image: a longer text is several images
 EIGHT = np.arange(8, dtype=np.uint32)
 SPAN, MARGIN = 1 << 15, 64  # bytes of a stream looked up at a time, and more bits than a token has (4 of them have under 256)
-SHORTEST, LONGEST, FARTHEST = 6, 4096, (1 << 20) - 120  # lengths of back-references that the writer makes, and their greatest distance
+SHORTEST, LONGEST, FARTHEST = 8, 4096, (1 << 20) - 120  # lengths of back-references that the writer makes, and their greatest distance
 CODE_BITS, MULTIPLIER = 12, 0x9E3779B97F4A7C15  # the longest code that the writer makes, and of the hash of the first bytes of a run
 
 
@@ -496,8 +496,8 @@ def _prefix_fields(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _entropy(counts: np.ndarray) -> float:
     """Bits of a symbol."""
-    used = counts[counts > 0]
-    return float(np.log2(used.sum()) - (used * np.log2(used)).sum() / used.sum())
+    used = counts[counts > 0].astype(float)
+    return float(np.log2(used.sum()) - used @ np.log2(used) / used.sum())
 
 
 def _common(data: bytes, a: int, b: int, most: int) -> int:
@@ -653,7 +653,10 @@ def write_grey(samples: np.ndarray) -> bytes:
     forms = [_grey(samples, 0)]
     if 1 < len(colours) <= 16:
         forms.append(_palette(samples, colours))
-    forms += [_grey(samples, p) for p in (1, 2) if _entropy(np.bincount(_differences(samples, p).ravel(), minlength=256)) < 0.9 * plain]
+    flat = samples.ravel()
+    for predictor, back in ((1, 1), (2, samples.shape[1])):
+        if len(flat) > back and _entropy(np.bincount(flat[back:] - flat[:-back], minlength=256)) < 0.9 * plain:
+            forms.append(_grey(samples, predictor))
     return min(forms, key=len)
 
 
