@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnwork.llm.components import connected_components
@@ -28,7 +28,7 @@ from cairnwork.storage import discard, materialize
 WIDTH, PERCENT, BANDS, DEPTH = 5, 80, 25, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, size=BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK = 1 << 12
-SENT = 1 << 19  # shingles that are sent at a time
+SENT, BITMAP = 1 << 19, 32  # shingles that are sent at a time, and words of a set's bitmap
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -87,18 +87,29 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP 64-bit words with the bit of each shingle set."""
+    bits = np.zeros(64 * BITMAP, dtype=np.uint8)
+    bits[(shingles % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(ids, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([bitmap(x) for x in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["fp", "shingles", "bits"])
+
     for batch in batches:
         ids, sets, held = [], [], 0
         for fp, x in zip(batch.column(0), batch.column(1), strict=True):
             ids.append(fp)
-            sets.append(shingle_set(x.as_py()).view(np.int64))
+            sets.append(shingle_set(x.as_py()))
             held += len(sets[-1])
             if held > SENT:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+                yield sent(ids, sets)
                 ids, sets, held = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+            yield sent(ids, sets)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -125,6 +136,33 @@ def _print_candidates(classes: DataFrame) -> DataFrame:
     return pairs.union(near.select("u_first.fp", "u_first.n", "v_first.fp", "v_first.n"))
 
 
+def _apart_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, nu, v, nv) of ``left (key, fp, n, root, main)`` that share a key, aren't in one component and may have the similarity.
+
+    At 0.8 a pair has 4/9 of its shingles, counted together, in common. Each bit that one
+    set's bitmap has and the other's lacks stands for a shingle that isn't common; so sizes and
+    bitmaps bound what can be, and no pair with the similarity is lost. Only pairs within the bound
+    are made; sizes are matched by bins. (Inside a key, sets that are apart are still held
+    against each other, by their bitmaps.)
+    """
+    sized = materialize(left.join(sets.select("fp", "bits"), "fp").select("key", "fp", "n", "root", "main", "bits"), "sized")
+
+    def bin_of(n: Column) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(1.1)))
+
+    low, high = F.ceil(F.col("n") * PERCENT / 100), F.floor(F.col("n") * 100 / PERCENT)
+    few = sized.where("root <> main").withColumn("bin", F.explode(F.sequence(bin_of(low), bin_of(high)))).select(
+        "key", "bin", F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), F.col("bits").alias("bu")
+    )
+    others = sized.select("key", bin_of(F.col("n")).alias("bin"), F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), F.col("bits").alias("bv"))
+
+    def common_at_most(n: str, a: str, b: str) -> str:
+        return f"({n} - ({' + '.join(f'bit_count({a}[{i}] & ~{b}[{i}])' for i in range(BITMAP))}))"
+
+    fits = [f"{common_at_most(*x)} * (100 + {PERCENT}) >= (nu + nv) * {PERCENT}" for x in (("nu", "bu", "bv"), ("nv", "bv", "bu"))]
+    return few.join(others, (few["key"] == others["key"]) & (few["bin"] == others["bin"]) & F.expr(f"ru <> rv AND {fits[0]} AND {fits[1]}")).select("u", "nu", "v", "nv")
+
+
 def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", bucket: int = 16) -> DataFrame:
     """Links ``(u, v)`` whose closure joins all verified candidates among the distinct sets ``(fp, print, n, keys, row)``.
 
@@ -132,7 +170,8 @@ def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", b
     are verified. In a fuller key each set is held against the most central one (a text that
     others were copied from shares more keys with them than they do with each other), then
     against the most central one of those that aren't in the key's largest component; after
-    that only pairs that aren't yet in one component can add anything, and all of those are verified.
+    that only pairs that aren't yet in one component can add anything, and of those all that
+    their sizes and bitmaps allow (``_apart_pairs``) are verified.
     """
     keyed = classes.select("fp", "n", "row", F.explode("keys").alias("key"))
     counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "band-counts")
@@ -140,7 +179,7 @@ def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", b
     printed = materialize(_ordered(_print_candidates(classes)), "print-candidates")
     wanted = shared.select("fp", "row").union(classes.join(printed.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "row")).distinct()
     texts = row_table(docs, text=F.col(text_col).cast("binary"))
-    sets = materialize(texts.join(wanted, "row").select("fp", "text").mapInArrow(_sets, "fp bigint, shingles array<bigint>"), "shingle-sets")
+    sets = materialize(texts.join(wanted, "row").select("fp", "text").mapInArrow(_sets, "fp bigint, shingles array<bigint>, bits array<bigint>"), "shingle-sets")
 
     cold, hot = shared.where(F.col("m") <= bucket), shared.where(F.col("m") > bucket)
     u, v, nu, nv = F.col("fp").alias("u"), F.col("fp").alias("v"), F.col("n").alias("nu"), F.col("n").alias("nv")
@@ -173,8 +212,7 @@ def similar_links(classes: DataFrame, docs: DataFrame, text_col: str = "text", b
     second = join_common(apart.drop("members"), materialize(outside, "leaders"), ["key"], "members")
     added(second.select(F.col("two.fp").alias("u"), F.col("two.n").alias("nu"), v, nv))
     left = materialize(placed(), "apart")
-    few = left.where("root <> main").select("key", u, nu, F.col("root").alias("ru"))
-    added(few.join(left.select("key", v, nv, F.col("root").alias("rv")), "key").where("ru <> rv").select("u", "nu", "v", "nv"))
+    added(_apart_pairs(left, sets))
     discard(sets, shared, counts, central)
     return links
 
