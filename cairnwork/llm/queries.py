@@ -92,4 +92,12 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY packed ORDER BY points DESC, doc_id) = 1 AS kept,
                sha256(packed) AS text_sha256
         FROM t""",
+    "op5_substring_fm_index": r"""
+        WITH t AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM t)),
+        repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+        gone AS (SELECT DISTINCT r, i + k AS p FROM repeated, range(35) s(k)),
+        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (r, p) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (r)""",
 }
