@@ -78,6 +78,7 @@ def academic_year(text: Column) -> Column:
     the second year must follow the first, and years run from 1990 to 2035. Of two digits, 80 to 89 are in the
     1900s and so are 90 to 99 where the second year is 00 to 09; 19 and 20 never start 2425.
     """
+    # What may stand between the years of a span, and the forms of a span in the order in which they are tried.
     gap = "[\\s_\\-\u2013\u2014]+"
     forms = [
         (f"(20\\d{{2}}){gap}(20\\d{{2}})", None),

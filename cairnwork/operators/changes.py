@@ -38,6 +38,12 @@ def severity(old: Column, new: Column, notable: Mapping[str, Column], major: Map
     return F.when(reached(major), "major").when(reached(notable), "notable").otherwise("watch")
 
 
+def card_changes(pairs: DataFrame) -> DataFrame:
+    """``pairs`` whose quality of the strategy card changed between two years, as events ``card_quality_changed``; worse than ok is notable, anything else watch."""
+    moved = pairs.where("old_quality IS NOT NULL AND new_quality IS NOT NULL AND old_quality <> new_quality")
+    return moved.withColumns({"event": F.lit("card_quality_changed"), "severity": F.when(F.col("old_quality") == "ok", "notable").otherwise("watch")})
+
+
 def change_events(pairs: DataFrame, rated: Column, weighed: Column) -> DataFrame:
     """``pairs`` with ``event`` and ``severity``; pairs without an event are dropped.
 

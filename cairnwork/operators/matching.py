@@ -34,15 +34,22 @@ def best_names(a: DataFrame, b: DataFrame, name_a: str, name_b: str, least: floa
     """``(name_a, name_b, score)``: for each name of ``a`` the most similar name of ``b``, at ``least`` or more, ties to the lesser name.
 
     Names are compared once for each distinct pair that shares a token, ignoring case, and only
-    if their lengths allow the score. ``usable`` may exclude pairs.
+    if their lengths allow the score: a score of ``least`` needs lengths within a factor of
+    (2 - least) / least, so tokens join by bins of length, which also splits common tokens, and
+    pairs out of that range aren't made. Names under one very common token and of like length
+    are still all held against each other. ``usable`` may exclude pairs.
     """
+    step = (2 - least) / least
 
     def tokens(df: DataFrame, name: str) -> DataFrame:
-        return df.select(name).where(f"`{name}` <> ''").distinct().select(name, F.explode(F.array_distinct(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"))).alias("_token")).where("_token <> ''")
+        words = F.array_distinct(F.split(F.lower(name), "[^\\p{L}\\p{N}]+"))
+        length_bin = F.floor(F.log(F.length(name)) / F.log(F.lit(max(step, 1.0001)))).cast("int")
+        return df.select(name).where(f"`{name}` <> ''").distinct().select(name, length_bin.alias("_bin"), F.explode(words).alias("_token")).where("_token <> ''")
 
     size_a, size_b = F.length(name_a), F.length(name_b)
     near = F.least(size_a, size_b) * 2 >= least * (size_a + size_b)
-    pairs = tokens(a, name_a).join(tokens(b, name_b), "_token").where(near)
+    around = tokens(a, name_a).withColumn("_bin", F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1)))
+    pairs = around.join(tokens(b, name_b), ["_token", "_bin"]).where(near)
     pairs = (pairs.where(usable) if usable is not None else pairs).select(name_a, name_b).distinct()
     scored = pairs.withColumn("score", similarity(F.lower(name_a), F.lower(name_b))).where(F.col("score") >= least)
     place = F.row_number().over(Window.partitionBy(name_a).orderBy(F.desc("score"), name_b))

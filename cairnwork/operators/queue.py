@@ -22,7 +22,7 @@ def claim(queue: DataFrame, key: str, order: Sequence[Column], now: Column, leas
     """
     ready = queue.where(claimable(F.col("status"), F.col("claimed_at"), now, lease_seconds))
     picked = ready.orderBy(*order).limit(count)
-    marks = F.broadcast(picked.select(key, F.lit(True).alias("_claimed")))
+    marks = picked.select(key, F.lit(True).alias("_claimed"))
     mine = F.coalesce(F.col("_claimed"), F.lit(False))
     after = queue.join(marks, key, "left").withColumns({
         "status": F.when(mine, "in_work").otherwise(F.col("status")),

@@ -263,3 +263,17 @@ def _(s, d):
 def _(s, d):
     has = L.passing([L.condition("value", ">", 100, True), L.condition("event_type", "!=", "error")])
     return W.first_per_key(load(s, d, "events"), ["user_id"], [has.desc(), F.desc("ts"), F.asc("event_id")]).select("user_id", "event_id")
+
+
+@query("D_17_selectivity_bands", "SELECT p_partkey, CASE WHEN r IS NULL THEN 'unknown_selectivity' WHEN r < 0.2 THEN 'high_selectivity' WHEN r < 0.5 THEN 'selective' ELSE 'broad_access' END AS band FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN (p_partkey % 64) / 64.0 END AS r FROM part)")
+def _(s, d):
+    rate = F.when(F.col("p_partkey") % 7 > 0, (F.col("p_partkey") % 64) / F.lit(64.0))
+    return load(s, d, "part").select("p_partkey", changes.selectivity_band(rate).alias("band"))
+
+
+@query("D_17_card_changes", """
+    SELECT o_custkey, CASE WHEN a = 'ok' THEN 'notable' ELSE 'watch' END AS severity FROM (SELECT o_custkey, CASE WHEN min(o_totalprice) FILTER (WHERE year(o_orderdate) = 1996) > 2000 THEN 'ok' ELSE 'thin' END AS a, CASE WHEN min(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) > 2000 THEN 'ok' ELSE 'thin' END AS b FROM orders GROUP BY 1) WHERE a <> b""")
+def _(s, d):
+    least = lambda y: F.min(F.when(F.year("o_orderdate") == y, F.col("o_totalprice")))
+    pairs = load(s, d, "orders").groupBy("o_custkey").agg(*[F.when(least(y) > 2000, "ok").otherwise("thin").alias(n) for y, n in ((1996, "old_quality"), (1997, "new_quality"))])
+    return changes.card_changes(pairs).select("o_custkey", "severity")
