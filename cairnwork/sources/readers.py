@@ -6,6 +6,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,3 +83,118 @@ def mapped_columns(wide: DataFrame, ids: Sequence[str], columns: dict[str, tuple
         return F.when(~text.isin("", "NULL", "PrivacySuppressed", "PS", "NA"), text).try_cast(kind)
 
     return wide.select(*ids, *[F.coalesce(*[value(c, kind) for c in names]).alias(out) for out, (names, kind) in columns.items()])
+
+
+# Tags whose text isn't shown, and tags that begin a line.
+HIDDEN_TAGS = ("script", "style", "head", "noscript", "svg")
+LINE_TAGS = ("p", "div", "br", "li", "ul", "ol", "section", "article", "tr", "hr", "h1", "h2", "h3", "h4", "h5", "h6")
+
+
+class _Markdown(HTMLParser):
+    """Collects headings, text and tables of a page; tables in cells are read as text of the cell."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.lines: list[str] = []
+        self.words: list[str] = []
+        self.rows: list[list[str]] | None = None
+        self.cell: list[str] | None = None
+        self.hidden = self.depth = 0
+        self.span = 1
+
+    def close_line(self, prefix: str = "") -> None:
+        text = " ".join("".join(self.words).split())
+        self.words = []
+        if text:
+            self.lines.append(prefix + text)
+
+    def close_cell(self) -> None:
+        if self.cell is not None and self.rows:
+            text = " ".join("".join(self.cell).split()).replace("|", "/")
+            self.rows[-1] += [text] + [""] * (self.span - 1)
+        self.cell, self.span = None, 1
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in HIDDEN_TAGS:
+            self.hidden += 1
+        elif tag == "table":
+            self.depth += 1
+            if self.depth == 1:
+                self.close_line()
+                self.rows = []
+        elif self.depth == 1 and tag == "tr":
+            self.close_cell()
+            self.rows.append([])
+        elif self.depth == 1 and tag in ("td", "th"):
+            self.close_cell()
+            if not self.rows:
+                self.rows.append([])
+            wide = dict(attrs).get("colspan") or ""
+            self.cell, self.span = [], min(50, int(wide)) if wide.isdigit() and int(wide) > 0 else 1
+        elif not self.depth and tag in LINE_TAGS:
+            self.close_line()
+        elif self.depth and tag in ("br", "p", "li"):
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in HIDDEN_TAGS:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "table" and self.depth:
+            if self.depth == 1:
+                self.close_cell()
+                rows = [r for r in self.rows if any(r)]
+                width = max((len(r) for r in rows), default=0)
+                for k, row in enumerate(rows):
+                    self.lines.append("| " + " | ".join(row + [""] * (width - len(row))) + " |")
+                    if not k:
+                        self.lines.append("|" + "---|" * width)
+                self.rows = None
+            self.depth -= 1
+        elif self.depth == 1 and tag in ("td", "th", "tr"):
+            self.close_cell()
+        elif not self.depth and tag in LINE_TAGS:
+            self.close_line("#" * int(tag[1]) + " " if tag[0] == "h" and tag[1:].isdigit() else "- " if tag == "li" else "")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            if not self.depth:
+                self.words.append(data)
+            elif self.cell is not None:
+                self.cell.append(data)
+
+
+def page_markdown(html: str | None) -> str:
+    """Headings, lines of text and pipe tables of a page; empty for null. Cells over several columns leave empty ones after them."""
+    parser = _Markdown()
+    parser.feed(html or "")
+    parser.close()
+    parser.close_line()
+    return "\n".join(parser.lines)
+
+
+def markdown_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``(id_col, markdown)`` of each page, a page at a time in Arrow batches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({id_col: frame[id_col], "markdown": [page_markdown(x) for x in frame[html_col]]})
+
+    return pages.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, markdown string")
+
+
+def form_values(values: DataFrame, tags: DataFrame, options: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc, field, value), tags that are not known) of filled form fields.
+
+    ``values`` has (doc, tag, raw), ``tags`` (tag, field) and ``options`` (tag, code, label): what the
+    export code of a button stands for. Codes without a label are kept as they are; blank
+    values and switched off buttons are left out.
+    """
+    given = values.withColumn("raw", F.trim("raw")).where(~F.col("raw").isin("", "/Off", "Off"))
+    known = given.join(tags, "tag").join(options.withColumnRenamed("code", "raw"), ["tag", "raw"], "left")
+    bare = F.regexp_replace("raw", "^/", "")
+    return known.select("doc", "field", F.coalesce("label", bare).alias("value")), given.join(tags, "tag", "left_anti").select("tag").distinct()
+
+
+def target_units(corpus: DataFrame) -> DataFrame:
+    """(school, unit) of ``corpus (id, units array<string>)``: each unit of a school, and the school itself where it has none."""
+    return corpus.select(F.col("id").alias("school"), F.explode_outer("units").alias("unit"))
