@@ -261,3 +261,16 @@ def first_n(events):
 
     return ranked(events, ["event_type"], [F.desc("value"), F.asc("event_id")]).where("rank <= 20")
 
+
+
+LINK = "concat('https://x.edu/', CASE event_id % 3 WHEN 0 THEN '2021-2022/' ELSE 'files/' END, CASE event_id % 4 WHEN 0 THEN 'cds_2023-24' WHEN 1 THEN 'Section_C' WHEN 2 THEN 'draft-form' ELSE 'about' END, CASE WHEN event_id % 4 < 3 THEN '.pdf' ELSE '' END, '?v=1')"
+
+
+@query("SRC_21_described", """
+    SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 'document' ELSE 'subpage' END AS kind, CASE WHEN event_id % 4 = 0 THEN '2023-24' WHEN event_id % 3 = 0 THEN '2021-22' WHEN event_id % 5 = 0 THEN '2019-20' END AS "year",
+        CASE WHEN event_id % 4 = 0 THEN 'filename' WHEN event_id % 3 = 0 THEN 'url_path' WHEN event_id % 5 = 0 THEN 'link_text' ELSE 'unknown' END AS year_source, CASE WHEN event_id % 4 = 1 THEN 'C' END AS section, event_id % 4 = 2 AS is_test FROM events""")
+def _(s, d):
+    from cairnwork.sources.readers import described_anchors
+
+    label = F.when(F.col("event_id") % 5 == 0, "form for 2019-20").otherwise("form")
+    return described_anchors(load(s, d, "events").select("event_id", F.expr(LINK).alias("href"), label.alias("label"))).select("event_id", "kind", "year", "year_source", "section", "is_test")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnwork.functions.scalars import academic_year
+
 
 def guarded(df: DataFrame, most: int) -> DataFrame:
     """``df``, or an error if it has more than ``most`` rows: it refuses where a cap would cut."""
@@ -58,18 +60,35 @@ def schema_fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def anchors(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(id_col, position, href, label)``: the links of each page in order; tags in a label are dropped."""
-    pattern = F.lit('(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
-    both = F.arrays_zip(F.regexp_extract_all(html_col, pattern, 1).alias("href"), F.regexp_extract_all(html_col, pattern, 2).alias("label"))
-    links = pages.select(id_col, F.posexplode(both).alias("position", "x"))
-    return links.select(id_col, "position", F.col("x.href").alias("href"), F.trim(F.regexp_replace("x.label", "<[^>]*>", "")).alias("label"))
+    """``(id_col, position, href, label)``: the links of each page in order, quoted in any way; tags in a label are dropped."""
+    pattern = F.lit("(?is)<a\\s[^>]*?href\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))[^>]*>(.*?)</a>")
+    found = {n: F.regexp_extract_all(html_col, pattern, k).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "c"), (4, "label"))}
+    links = pages.select(id_col, F.posexplode(F.arrays_zip(*found.values())).alias("position", "x"))
+    href = F.concat("x.a", "x.b", "x.c")  # two of the three are empty
+    return links.select(id_col, "position", href.alias("href"), F.trim(F.regexp_replace("x.label", "<[^>]*>", "")).alias("label"))
+
+
+def described_anchors(links: DataFrame) -> DataFrame:
+    """``links`` with kind (document or subpage), filename, year and year_source (filename, url_path, link_text or unknown), section letter, is_section, is_test and is_reference."""
+    path = F.regexp_extract("href", "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    low = F.lower(name)
+    years = {"filename": academic_year(name), "url_path": academic_year(path), "link_text": academic_year(F.col("label"))}
+    source = F.lit("unknown")
+    for label, year in reversed(years.items()):
+        source = F.when(year.isNotNull(), label).otherwise(source)
+    section = F.nullif(F.upper(F.regexp_extract(name, "(?i)(?:^|[_\\- ])(?:section|sec|part)[_\\- ]*([A-J])(?:[_\\-. ]|$)", 1)), F.lit(""))
+    return links.withColumns({
+        "kind": F.when(low.rlike("\\.(pdf|xlsx?|docx?)$"), "document").otherwise("subpage"), "filename": name, "year": F.coalesce(*years.values()), "year_source": source, "section": section,
+        "is_section": section.isNotNull(), "is_test": low.rlike("(^|[_\\- ])(test|draft|sample)([_\\-. ]|$)"), "is_reference": low.rlike("definition|instruction|appendix|template"),
+    })
 
 
 def format_of(content: Column) -> Column:
-    """pdf, zip, html or other by a file's first bytes."""
+    """pdf, xlsx, docx, zip, html or other by a file's first bytes and, for archives, the names of their members."""
     head = F.substring(content, 1, 512).cast("string")
-    text = F.lower(F.ltrim(head))
-    return F.when(F.substring(content, 1, 5) == F.lit(b"%PDF-"), "pdf").when(F.substring(content, 1, 4) == F.lit(b"PK\x03\x04"), "zip").when(text.startswith("<!doctype html") | text.startswith("<html"), "html").otherwise("other")
+    text, packed = F.lower(F.ltrim(head)), F.substring(content, 1, 4) == F.lit(b"PK\x03\x04")
+    return F.when(F.substring(content, 1, 5) == F.lit(b"%PDF-"), "pdf").when(packed & F.contains(content, F.lit(b"xl/workbook.xml")), "xlsx").when(packed & F.contains(content, F.lit(b"word/document.xml")), "docx").when(packed, "zip").when(text.startswith("<!doctype html") | text.startswith("<html"), "html").otherwise("other")
 
 
 def mapped_columns(wide: DataFrame, ids: Sequence[str], columns: dict[str, tuple[Sequence[str], str]]) -> DataFrame:

@@ -52,3 +52,16 @@ def test_shaped_uuid(spark):
 
     h = hashlib.sha256(b"2024-01-31").hexdigest()
     assert got == f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
+
+
+def test_anchors_of_any_quotes(spark):
+    html = """<a class=x href="/a">one <b>bold</b></a> <A HREF='b?x=1'>two</A><a href=c.pdf>three</a><a name=n>none</a>"""
+    out = readers.anchors(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("position").collect()
+    assert [(r.position, r.href, r.label) for r in out] == [(0, "/a", "one bold"), (1, "b?x=1", "two"), (2, "c.pdf", "three")]
+
+
+def test_formats(spark):
+    zipped = b"PK\x03\x04"
+    rows = [(b"%PDF-1.7",), (zipped + b"..xl/workbook.xml",), (zipped + b"..word/document.xml",), (zipped,), (b" <!DOCTYPE html>",), (b"",), (None,)]
+    out = spark.createDataFrame(rows, "c binary").select(readers.format_of(F.col("c")).alias("f")).collect()
+    assert [r.f for r in out] == ["pdf", "xlsx", "docx", "zip", "html", "other", "other"]
