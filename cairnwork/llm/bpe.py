@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
 SHIFT = 20
-#: Words remembered by a Python worker, pieces in one pair index, and bytes of text taken at a time.
-MEMO, BLOCK, CHUNK = 400_000, 60_000, 4 << 20
+#: Words and pieces remembered by a Python worker, words in one pair index, and bytes of text taken at a time.
+MEMO, PIECES, BLOCK, CHUNK = 300_000, 400_000, 60_000, 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -166,13 +166,20 @@ class Memo:
 
 
 def pair_index_words(vocab: Vocabulary) -> Callable[[list[bytes]], Iterable[tuple[int, ...]]]:
-    """Encodes distinct words: their distinct pieces go through one pair occurrence index."""
+    """Encodes distinct words: their distinct pieces go through one pair occurrence index, and are remembered up to PIECES."""
+    ids: dict[bytes | int, tuple[int, ...]] = {}
 
     def encode(words: list[bytes]) -> Iterable[tuple[int, ...]]:
         parts = [vocab.pieces(w) for w in words]
-        pieces = list({p for own in parts for p in own if isinstance(p, bytes)})
-        ids = dict(zip(pieces, vocab.merge(pieces), strict=True))
-        return (tuple(chain.from_iterable(ids[p] if isinstance(p, bytes) else (p,) for p in own)) for own in parts)
+        wanted = set(chain.from_iterable(parts))
+        if len(ids) + len(wanted) > PIECES:
+            ids.clear()
+        new = wanted.difference(ids)
+        pieces = [p for p in new if isinstance(p, bytes)]
+        ids.update(zip(pieces, vocab.merge(pieces), strict=True))
+        ids.update((p, (p,)) for p in new if not isinstance(p, bytes))
+        get = ids.__getitem__
+        return [tuple(chain.from_iterable(map(get, own))) for own in parts]
 
     return encode
 
