@@ -113,6 +113,7 @@ def search_text(*parts: Column) -> Column:
 
 def coverage_summary(name: Column, status: Column, year: Column, walled: Column, note: Column) -> Column:
     """The paragraph that tells of a coverage state; ``walled`` says whether a newer source is behind a log-in."""
+    # The sentences of each state.
     since = F.coalesce(F.concat(F.lit(" from "), year), F.lit(""))
     older = F.concat(F.lit("We have an older CDS for "), name, since)
     found = F.concat(F.lit("We found a possible CDS for "), name)

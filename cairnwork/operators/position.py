@@ -73,6 +73,7 @@ def positions(schools: DataFrame, sat: float | None, act: float | None, year: in
     rate = F.col("acceptance_rate")
     suppressed = F.coalesce((rate < SUPPRESSED) & best.between(25, 75), F.lit(False))
     start = F.regexp_extract("cds_year", "^\\s*(\\d+)", 1).try_cast("int")
+    # The names of the caveats.
     notes = [
         F.when(F.lit(year) - start > STALE_YEARS, "stale_cds"),
         *[F.when(~anchored[t] & F.col(f"{t}_p50").isNull(), f"no_{t}_data") for t in anchored],
