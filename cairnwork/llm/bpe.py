@@ -9,10 +9,12 @@ once for the whole block, however many texts hold its pair.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -197,6 +199,18 @@ def chunked(values: pa.Array) -> Iterator[list[bytes]]:
         yield part
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: the many small tuples of words make none, and would be gone through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _memos: dict[str, Memo] = {}
 
 
@@ -245,12 +259,13 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         token, number = tokens.__getitem__, [str(i) for i in range(len(tokens))].__getitem__
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for part in chunked(batch.column(1)):
-                for x in memo.texts(part):
-                    ids = list(x)
-                    n.append(len(ids))
-                    ids_sha.append(sha256(" ".join(map(number, ids)).encode()).hexdigest())
-                    text_sha.append(sha256(" ".join(map(token, ids)).encode()).hexdigest())
+            with uncollected():
+                for part in chunked(batch.column(1)):
+                    for x in memo.texts(part):
+                        ids = list(x)
+                        n.append(len(ids))
+                        ids_sha.append(sha256(" ".join(map(number, ids)).encode()).hexdigest())
+                        text_sha.append(sha256(" ".join(map(token, ids)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnwork.llm.bpe import Memo, byte_letters, chunked
+from cairnwork.llm.bpe import Memo, byte_letters, chunked, uncollected
 from cairnwork.storage import materialize, work_dir
 
 ORC_OPTIONS = {
@@ -85,7 +85,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 2, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, last = library_memo(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
-            rows = [b"".join(x) + last for part in chunked(batch.column(2)) for x in memo.words(part)]
+            with uncollected():
+                rows = [b"".join(x) + last for part in chunked(batch.column(2)) for x in memo.words(part)]
             offsets = np.cumsum([0, *(len(r) >> 2 for r in rows)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["place", "doc_id", "ids"])
