@@ -24,7 +24,7 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 els
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
 
 
-def _batch(rows: list[tuple[str, str, bytes | None, int, int]]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[str, str, bytes, int, int]]) -> pa.RecordBatch:
     lang, source, term, n, docs = zip(*rows, strict=True)
     columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
@@ -33,19 +33,16 @@ def _batch(rows: list[tuple[str, str, bytes | None, int, int]]) -> pa.RecordBatc
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most_held: int = 200_000) -> DataFrame:
     """``(lang, source, term, n, docs)``: occurrences of a term in a group and the group's documents that have it.
 
-    A row of null term stands for each group, so groups without terms are there. Nulls count as
-    empty. Tasks count what they read and pass on at most ``most_held`` counts at a time, so
-    a hot group is summed before it is shuffled.
+    Nulls count as empty. Tasks count what they read and pass on at most ``most_held`` counts at a
+    time, so a hot group is summed before it is shuffled. The rows are dealt out by language and
+    term, so that what groups by these shuffles no more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def rows() -> list[tuple]:
-            out = [(*group, None, 0, 0) for group in held]
-            for group, (n, docs) in held.items():
-                out += [(*group, term, count, docs[term]) for term, count in n.items()]
-            return out
+            return [(*group, term, count, docs[term]) for group, (n, docs) in held.items() for term, count in n.items()]
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -62,9 +59,12 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
         for at in range(0, len(out), 50_000):
             yield _batch(out[at : at + 50_000])
 
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col)]
-    counted = docs.select(text[0].alias("lang"), text[1].alias("source"), text[2].cast("binary").alias("text")).mapInArrow(run, COUNTS)
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    source = docs.select(_filled(lang_col).alias("lang"), _filled(source_col).alias("source"), _filled(text_col).cast("binary").alias("text"))
+    return source.mapInArrow(run, COUNTS).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _filled(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def _tallied(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +143,12 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     empty table gives no rows; other columns are not read. What is grouped whole is a term's list of
     sources, no longer than the sources of a language, whose pairs are the result's own rows.
     """
-    counts = materialize(term_counts(docs, lang_col, source_col, text_col), "counts")
-    listed = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    listed = term_counts(docs, lang_col, source_col, text_col).groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = materialize(listed.where(F.col("docs") >= least_docs).drop("docs"), "kept")
     single = kept.select("lang", "term", F.col("n").alias("lang_n"), F.explode("sources").alias("s")).select("lang", "term", "lang_n", "s.source", F.col("s.n").alias("n"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(single.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
+    there = docs.select(_filled(lang_col).alias("lang"), _filled(source_col).alias("source")).distinct()
+    groups = there.join(single.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
     groups = materialize(groups.na.fill(0, ["total", "terms", "lang_total"]), "groups")
     return _pairs(kept, single, groups).unionByName(_terms(single, groups, top))
 
