@@ -1,13 +1,15 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Regions hold racks and racks hold shards. At each level every node draws, for each key, an
-exponential variate with its weight (the sum of the weights below it) as rate from a hash
-of the key and its own place in the tree, and the least draw wins: so children are picked
-in proportion to their weights, and only the racks of the region that won, and the shards
-of the rack that won, draw at all. A node whose weight is the same draws the same. So if a
-shard's weight changes, rows move only into or out of its region, within it only into or
-out of its rack, and within that only into or out of the shard. A tree grows by a shard in
-a region of its own, which takes rows only into itself.
+Shards stand in slots of racks, and racks in regions, filled in order; a tree of more shards is the same
+tree with more slots filled. A weight is taken as a sum of powers of two (its bits), and each of
+these layers is drawn on its own. A region draws, for each key and layer, an exponential variate with the
+weight of all its slots as rate; hash draws then choose a rack below it and a slot below the rack. If
+a shard with that layer stands in the slot, it holds the region's draw. If not, each shard of the
+region takes the draw plus an exponential variate of its own, as if the slots before had been passed
+by. The least draw of all regions and layers wins. So each slot has a time of its own for each key,
+whatever the other slots hold, that is exponential with its weight as rate: shards are
+chosen in proportion to their weights; a full region costs one draw and its descent; and a shard that
+comes, goes or changes its weight moves rows only into or out of itself.
 """
 
 from __future__ import annotations
@@ -19,57 +21,60 @@ from pyspark.sql import functions as F
 
 from cairnwork.llm.rows import ordinals
 
-Tree = list[list[list[tuple[int, float]]]]
+#: Racks of a region, slots of a rack, and bits of a weight after the point.
+RACKS, SLOTS, FRACTION = 2, 4, 8
 
 
-def layout(shards: int, weights: Sequence[float] | None = None, per_rack: int = 4, racks: int = 2) -> Tree:
-    """Regions of ``racks`` racks of ``per_rack`` shards, filled in order; each leaf is (shard, weight)."""
-    leaves = [(s, float(weights[s]) if weights else 1.0) for s in range(shards)]
-    if not leaves or min(w for _, w in leaves) <= 0:
+def layers(shards: int, weights: Sequence[float] | None = None) -> list[tuple[int, int, list[int]]]:
+    """(region, bit, its slots that hold a shard whose weight has this bit) of the tree; weights are rounded to multiples of 2**-FRACTION."""
+    scaled = [round((weights[s] if weights else 1.0) * (1 << FRACTION)) for s in range(shards)]
+    if not scaled or min(scaled) <= 0:
         raise ValueError("a tree needs shards of positive weight")
-    rack = [leaves[i : i + per_rack] for i in range(0, shards, per_rack)]
-    return [rack[i : i + racks] for i in range(0, len(rack), racks)]
+    size = RACKS * SLOTS
+    out = []
+    for region in range(0, shards, size):
+        own = scaled[region : region + size]
+        for bit in range(max(own).bit_length()):
+            held = [slot for slot, w in enumerate(own) if w >> bit & 1]
+            if held:
+                out.append((region // size, bit, held))
+    return out
 
 
-def grown_by(tree: Tree, shard: int, weight: float = 1.0) -> Tree:
-    """The tree with one more shard, in a region of its own."""
-    return [*tree, [[(shard, weight)]]]
+def _hash(key: str, *place: Column) -> Column:
+    return F.xxhash64(F.col(key), *place)
 
 
-def _weight(node: list | tuple) -> float:
-    return node[1] if isinstance(node, tuple) else sum(_weight(child) for child in node)
+def _variate(bits: Column) -> Column:
+    """-ln(u) with u in (0, 1) from 52 bits of a hash."""
+    return -F.log((F.shiftrightunsigned(bits, 12) + F.lit(0.5)) / F.lit(float(1 << 52)))
 
 
-def _draw(key: str, place: str, weight: float) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of the hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(place)), 12)
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(weight)
+def tree_shard(key: str, shards: int, weights: Sequence[float] | None = None) -> Column:
+    """The shard of a key in the tree of so many shards: a look-up in arrays, of the same code at any number."""
+    size = RACKS * SLOTS
+    entries = F.array(*[F.struct(F.lit(r).alias("region"), F.lit(b).alias("bit"), F.lit(float(2.0 ** (b - FRACTION))).alias("weight"), F.array(*map(F.lit, held)).alias("held")) for r, b, held in layers(shards, weights)])
 
+    def best(e: Column) -> Column:
+        drawn = _variate(_hash(key, e["region"], e["bit"], F.lit("region"))) / (e["weight"] * size)
+        rack = F.pmod(_hash(key, e["region"], e["bit"], F.lit("rack")), F.lit(RACKS))
+        slot = F.pmod(_hash(key, e["region"], e["bit"], rack, F.lit("slot")), F.lit(SLOTS))
+        first = (rack * SLOTS + slot).cast("int")
+        others = F.transform(e["held"], lambda s: F.struct((drawn + _variate(_hash(key, e["region"], e["bit"], F.lit("own"), s)) / e["weight"]).alias("time"), (e["region"] * size + s).alias("shard")))
+        return F.when(F.array_contains(e["held"], first), F.struct(drawn.alias("time"), (e["region"] * size + first).alias("shard"))).otherwise(F.array_min(others))
 
-def tree_shard(key: str, node: list | tuple, place: str = "") -> Column:
-    """The shard reached by descending from ``node``; of equal draws the first wins. Branches that aren't taken aren't computed."""
-    if isinstance(node, tuple):
-        return F.lit(node[0])
-    if len(node) == 1:
-        return tree_shard(key, node[0], f"{place}/0")
-    draws = [_draw(key, f"{place}/{i}", _weight(child)) for i, child in enumerate(node)]
-    best = F.array_position(F.array(*draws), F.array_min(F.array(*draws)))
-    out = tree_shard(key, node[-1], f"{place}/{len(node) - 1}")
-    for i in range(len(node) - 2, -1, -1):
-        out = F.when(best == i + 1, tree_shard(key, node[i], f"{place}/{i}")).otherwise(out)
-    return out
+    return F.array_min(F.transform(entries, best))["shard"]
 
 
 def assign(rows: DataFrame, key: str, shards: int, weights: Sequence[float] | None = None, grown: int | None = None) -> DataFrame:
-    """``rows`` with ``shard`` (0 to shards - 1) and, if ``grown`` is given, ``grown_shard`` for the tree grown to that many shards.
+    """``rows`` with ``shard`` (0 to shards - 1) and, if ``grown`` is given, ``grown_shard`` for the tree of that many shards.
 
-    A null key is one more key and goes to one shard. Columns of those two names are replaced.
+    Shards without a weight in ``weights`` weigh 1. A null key is one more key and goes to one
+    shard. Columns of those two names are replaced.
     """
-    tree = layout(shards, weights)
-    out = rows.withColumn("shard", tree_shard(key, tree))
-    for s in range(shards, grown or shards):
-        tree = grown_by(tree, s, float(weights[s]) if weights and s < len(weights) else 1.0)
-    return out.withColumn("grown_shard", tree_shard(key, tree)) if grown else out
+    filled = [*(weights or []), *[1.0] * max(shards, grown or 0)]
+    out = rows.withColumn("shard", tree_shard(key, shards, filled))
+    return out.withColumn("grown_shard", tree_shard(key, grown, filled)) if grown else out
 
 
 def with_slots(rows: DataFrame, shard: str, *order: str) -> DataFrame:
