@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 # The vocabulary file's pre-tokenizer pattern.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHIFT = 20
 #: Words and pieces remembered by a Python worker, words in one pair index, and bytes of text taken at a time.
 MEMO, PIECES, BLOCK, CHUNK = 300_000, 400_000, 60_000, 4 << 20
@@ -40,25 +41,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class Vocabulary:
-    """A word-end BPE vocabulary: byte symbols, ranked pairs, token strings and special tokens."""
+class Splitter:
+    """Words as pre-tokens: NFC, lower case, and the pre-tokenizer's pattern; special tokens stand for themselves."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            data = json.load(file)
-        ids = data["model"]["vocab"]
-        special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.tokens = [""] * (max([*ids.values(), *special.values()]) + 1)
-        for token, i in (ids | special).items():
-            self.tokens[i] = token
-        letters = byte_letters()
-        self.inner = [ids[x] for x in letters]
-        self.last = [ids[x + END] for x in letters]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
-        self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
-        self.rank = {a << SHIFT | b: r for r, (a, b, _) in enumerate(self.merges)}
-        self.pair_keys = np.array(sorted(self.rank), dtype=np.int64)
-        self.pair_ranks = np.array([self.rank[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+    def __init__(self, special: dict[str, int]):
         self.special = special
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
@@ -69,6 +55,10 @@ class Vocabulary:
         if word[:-1].isalpha() and word[-1] < 128 and not word[-1:].isalnum():
             return [word[:-1].lower(), word[-1:]]
         text, out = word.decode("utf-8", "replace"), []
+        head = text.rstrip(SIGNS)
+        if head.isalpha() and unicodedata.is_normalized("NFC", head) and "Σ" not in head and "İ" not in head:
+            # letters and then signs, if any: two pieces, as no contraction begins without a letter behind its sign
+            return [head.lower().encode(), text[len(head) :].encode()] if len(head) < len(text) else [head.lower().encode()]
         for part in self.special_split.split(text) if self.special_split else [text]:
             if part in self.special:
                 out.append(self.special[part])
@@ -78,6 +68,28 @@ class Vocabulary:
                 out += [x.encode() for x in PIECE.findall(part)]
         return out
 
+
+class Vocabulary(Splitter):
+    """A word-end BPE vocabulary: byte symbols, ranked pairs, token strings and special tokens."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            data = json.load(file)
+        ids = data["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.tokens = [""] * (max([*ids.values(), *special.values()]) + 1)
+        for token, i in (ids | special).items():
+            self.tokens[i] = token
+        letters = byte_letters()
+        self.inner = [ids[x] for x in letters]
+        self.last = [ids[x + END] for x in letters]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
+        self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+        self.rank = {a << SHIFT | b: r for r, (a, b, _) in enumerate(self.merges)}
+        self.pair_keys = np.array(sorted(self.rank), dtype=np.int64)
+        self.pair_ranks = np.array([self.rank[k] for k in self.pair_keys.tolist()], dtype=np.int64)
+        super().__init__(special)
+
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of each piece, all pieces through one pair occurrence index."""
         if not pieces:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnwork.llm.bpe import Memo, byte_letters, chunked, uncollected
+from cairnwork.llm.bpe import PIECES, Memo, Splitter, byte_letters, chunked, uncollected
 from cairnwork.storage import materialize, work_dir
 
 ORC_OPTIONS = {
@@ -27,44 +27,27 @@ ORC_OPTIONS = {
 
 
 def library_words(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
-    """Encodes distinct words with the tokenizers library, as little-endian 32-bit ids.
-
-    A word of ASCII letters, with or without one sign after it, is one or two pieces and
-    goes to the library's model; any other word goes through the library as a text.
-    """
+    """Encodes distinct words as little-endian 32-bit ids: the library's model encodes their pieces, which are remembered."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
     model, letters = tokenizer.model, byte_letters()
-    pieces: dict[bytes, bytes] = {}
-
-    def packed(ids: Iterable[int]) -> bytes:
-        return np.array(list(ids), dtype="<u4").tobytes()
-
-    def piece(word: bytes) -> bytes:
-        found = pieces.get(word)
-        if found is None:
-            text = word.decode() if word.isalpha() else "".join(letters[b] for b in word)
-            found = pieces[word] = packed([t.id for t in model.tokenize(text)])
+    split = Splitter({t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}).pieces
+    known: dict[bytes | int, bytes] = {}
+
+    def piece(part: bytes | int) -> bytes:
+        if isinstance(part, int):
+            ids = [part]
+        else:
+            ids = [t.id for t in model.tokenize(part.decode() if part.isalnum() else "".join(letters[b] for b in part))]
+        known[part] = found = np.array(ids, dtype="<u4").tobytes()
         return found
 
     def encode(words: list[bytes]) -> Iterable[bytes]:
-        if len(pieces) > 200_000:
-            pieces.clear()
-        out, rest = [b""] * len(words), []
-        for i, word in enumerate(words):
-            if word.isalpha():
-                out[i] = piece(word.lower())
-            elif word[:-1].isalpha() and word[-1] < 128 and not word[-1:].isalnum():
-                out[i] = piece(word[:-1].lower()) + piece(word[-1:])
-            else:
-                rest.append(i)
-        texts = [words[i].decode("utf-8", "replace") for i in rest]
-        for i, x in zip(rest, tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
-            out[i] = packed(x.ids)
-        return out
+        if len(known) > PIECES:
+            known.clear()
+        get = known.get
+        return [b"".join([get(p) or piece(p) for p in split(w)]) for w in words]
 
     return encode
 
@@ -72,7 +55,7 @@ def library_words(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
 @lru_cache(maxsize=2)
 def library_memo(path: str) -> Memo:
     """One memo for each vocabulary in a Python worker."""
-    return Memo(library_words(path), 700_000)
+    return Memo(library_words(path), 500_000)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
