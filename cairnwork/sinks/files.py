@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -36,9 +39,31 @@ def report_lines(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Replaces the whole table at ``path`` and returns its number of rows; readers see the old files or the new ones."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    """Replaces the folder of files at ``path`` and returns its number of rows.
+
+    The new files are written beside it first, so a write that fails leaves the old ones, and ``df`` may
+    read them. The folders then change places by two renames; a reader in between finds none. Tables of
+    ``sinks.versions`` are replaced in one step.
+    """
+    spark, mark, path = df.sparkSession, uuid.uuid4().hex, path.rstrip("/")
+    new, old, here = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new-{mark}", f"{path}.old-{mark}", path))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+    except PySparkException:
+        fs.delete(new, True)
+        raise
+    rows = spark.read.parquet(new.toString()).count()
+    there = fs.exists(here)
+    if there and not fs.rename(here, old):
+        raise OSError(f"{path} can't be renamed")
+    if not fs.rename(new, here):
+        if there:
+            fs.rename(old, here)
+        raise OSError(f"{new.toString()} can't be renamed")
+    if there:
+        fs.delete(old, True)
+    return rows
 
 
 def replace_documents(stored: DataFrame, rows: DataFrame, key: str, required: list[str]) -> DataFrame:
