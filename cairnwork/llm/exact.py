@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnwork.llm.rows import chosen, join_common, row_table, stable
-from cairnwork.storage import materialize
+from cairnwork.storage import materialize, working
 
 ABSENT = -1
 
@@ -104,7 +104,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(row, id, keep_id, group_size, kept, text_sha256) for each row of a stable frame."""
-    rows = materialize(identify(docs, id_col, text_col, size), "identities")
+    with working() as keep:
+        rows = keep(materialize(identify(docs, id_col, text_col, size), "identities"))
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("row").alias("row")))
     groups = materialize(rows.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return join_common(rows, groups, ["level", "name"], "group_size").select(

@@ -12,14 +12,15 @@ words miss its target by less than the words of one row.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnwork.llm.rows import chosen, join_common, ordinals, row_table, stable
-from cairnwork.storage import materialize
+from cairnwork.llm.rows import COMMON, chosen, join_common, ordinals, places, row_table, stable
+from cairnwork.storage import materialize, working
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 MOST = 3
@@ -122,35 +123,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounded by many tasks. Null sources are a source; null and empty texts have no words and
     take no part; null ids are one id. An empty table gives no rows; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    units = materialize(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "units")
-    targets = source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")))
-    counts = units.groupBy("source").agg(F.count("*").alias("units"))
-    totals = targets.select(_mark("source"), "source_size", "target").join(counts.select(_mark("source"), "units"), "mark")
-    totals = materialize(totals.withColumn("buckets", F.ceil(F.col("units") / per_bucket).cast("bigint")), "targets")
-    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    expected = join_common(units.withColumn("mark", _mark("source")), totals, ["mark"], "units").withColumn("share", F.when(F.col("size") > 0, copies).otherwise(0.0))
-    key, over = F.xxhash64("id", "size"), (F.col("share") - F.floor("share")) * F.col("rows")
-    dealt = expected.select(
-        "source", F.col("id").cast("string").alias("id"), "size", "rows", key.alias("key"), F.floor("share").cast("int").alias("base"), F.floor(over).cast("bigint").alias("more"),
-        (over - F.floor(over)).alias("frac"), F.pmod(F.xxhash64(key), "buckets").alias("bucket"), F.lit(False).alias("done"),
-    )
-    most = totals.agg(F.max("buckets")).first()[0] or 1
-    state = materialize(dealt.groupBy("source", "bucket").applyInPandas(_round_bucket, SCHEMA), "rounded")
-    finished = [state.where("done")]
-    while most > 1:
-        most = -(-most // fan_in)
-        rest = state.where("NOT done").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
-        state = materialize(rest.groupBy("source", "bucket").applyInPandas(_round_bucket, SCHEMA), "residuals")
-        finished.append(state.where("done"))
-    finished.append(state.where("NOT done").groupBy("source").applyInPandas(_round_last, SCHEMA))
-    rounded = finished[0]
-    for more in finished[1:]:
-        rounded = rounded.unionByName(more)
-    out = join_common(rounded.withColumn("mark", _mark("source")), totals, ["mark"], "units")
-    extra = (F.col("more") + F.round("frac")).cast("bigint")
-    return out.select(F.col("id").cast(kind).alias(id_col), "source", "size", "source_size", "target", F.col("base").cast("bigint").alias("copies"), extra.alias("extra"), "rows")
+    with working() as keep:
+        kind = docs.schema[id_col].dataType.simpleString()
+        sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+        units = materialize(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "units")
+        targets = source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")))
+        counts = units.groupBy("source").agg(F.count("*").alias("units"))
+        totals = targets.select(_mark("source"), "source_size", "target").join(counts.select(_mark("source"), "units"), "mark")
+        totals = materialize(totals.withColumn("buckets", F.ceil(F.col("units") / per_bucket).cast("bigint")), "targets")
+        copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
+        expected = join_common(units.withColumn("mark", _mark("source")), totals, ["mark"], "units").withColumn("share", F.when(F.col("size") > 0, copies).otherwise(0.0))
+        key, over = F.xxhash64("id", "size"), (F.col("share") - F.floor("share")) * F.col("rows")
+        dealt = expected.select(
+            "source", F.col("id").cast("string").alias("id"), "size", "rows", key.alias("key"), F.floor("share").cast("int").alias("base"), F.floor(over).cast("bigint").alias("more"),
+            (over - F.floor(over)).alias("frac"), F.pmod(F.xxhash64(key), "buckets").alias("bucket"), F.lit(False).alias("done"),
+        )
+        most = totals.agg(F.max("buckets")).first()[0] or 1
+        state = materialize(dealt.groupBy("source", "bucket").applyInPandas(_round_bucket, SCHEMA), "rounded")
+        finished = [state.where("done")]
+        while most > 1:
+            most = -(-most // fan_in)
+            rest = state.where("NOT done").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
+            state = materialize(rest.groupBy("source", "bucket").applyInPandas(_round_bucket, SCHEMA), "residuals")
+            finished.append(state.where("done"))
+        finished.append(state.where("NOT done").groupBy("source").applyInPandas(_round_last, SCHEMA))
+        rounded = finished[0]
+        for more in finished[1:]:
+            rounded = rounded.unionByName(more)
+        out = join_common(rounded.withColumn("mark", _mark("source")), totals, ["mark"], "units")
+        extra = (F.col("more") + F.round("frac")).cast("bigint")
+        mixed = out.select(F.col("id").cast(kind).alias(id_col), "source", "size", "source_size", "target", F.col("base").cast("bigint").alias("copies"), extra.alias("extra"), "rows")
+        return keep(materialize(mixed, "mix"))
 
 
 def mixed_digest(docs: DataFrame) -> DataFrame:
@@ -158,7 +161,12 @@ def mixed_digest(docs: DataFrame) -> DataFrame:
 
     Nulls, empty texts and empty tables as in ``mix``; ties between sources can't be, as they are distinct.
     """
-    out = mix(docs).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    out = mix(docs)
+    few = out.where(F.col("rows") <= COMMON).select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("place"))
+    # a unit of very many rows is listed in parts, which are dealt out
+    parts = out.where(F.col("rows") > COMMON).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / COMMON))).alias("part")).repartition("doc_id", "source", "size", "part")
+    many = parts.select("*", F.explode(F.sequence(F.col("part") * COMMON + 1, F.least(F.col("rows"), (F.col("part") + 1) * COMMON))).alias("place")).drop("part")
+    out = few.unionByName(many)
     taken = (F.col("copies") + (F.col("place") <= F.col("extra")).cast("bigint")) * F.col("size")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
@@ -170,12 +178,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and place take the extra copies. An empty table gives no rows.
     """
     docs = stable(docs)
-    plan = mix(docs, id_col, text_col, source_col, per_bucket).where("size > 0 AND copies + extra > 0")
-    plan = plan.select(F.col(id_col).alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", "extra", "rows")
-    rows = row_table(docs, id=F.col(id_col), source=F.col(source_col).cast("string"), size=word_count(F.col(text_col)))
-    dealt = materialize(rows.join(plan, F.expr("id <=> p_id AND source <=> p_source AND size = p_size")), "dealt")
-    uneven = F.expr("extra > 0 AND extra < rows")
-    first = F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("row")) <= F.col("extra")
-    parts = [dealt.where(~uneven).withColumn("one", F.col("extra") > 0), dealt.where(uneven).withColumn("one", first)]
-    taken = parts[0].unionByName(parts[1]).select("row", (F.col("copies") + F.col("one").cast("bigint")).alias("taken"))
-    return chosen(docs, taken.where("taken > 0"), "taken")
+    with working() as keep:
+        plan = mix(docs, id_col, text_col, source_col, per_bucket).where("size > 0 AND copies + extra > 0")
+        plan = plan.select(F.col(id_col).alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies", "extra", "rows")
+        rows = row_table(docs, id=F.col(id_col), source=F.col(source_col).cast("string"), size=word_count(F.col(text_col)))
+        dealt = rows.join(plan, F.expr("id <=> p_id AND source <=> p_source AND size = p_size"))
+        dealt = materialize(dealt.select("row", F.to_json(F.struct("id", "source", "size")).alias("unit"), "copies", "extra", "rows"), "dealt")
+        uneven, large = F.expr("extra > 0 AND extra < rows"), F.col("rows") > COMMON
+        place = F.row_number().over(Window.partitionBy("unit").orderBy("row"))
+        parts = [dealt.where(~uneven).withColumn("one", F.col("extra") > 0), dealt.where(uneven & ~large).withColumn("one", place <= F.col("extra"))]
+        if not dealt.where(uneven & large).isEmpty():
+            placed = places(dealt.where(uneven & large), "unit", "row")
+            parts.append(placed.select(*dealt.columns, (F.col("place") <= F.col("extra")).alias("one")))
+        taken = reduce(DataFrame.unionByName, parts).select("row", (F.col("copies") + F.col("one").cast("bigint")).alias("taken"))
+        return chosen(docs, keep(materialize(taken.where("taken > 0"), "taken")), "taken")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cairnwork.llm.components import connected_components
 from cairnwork.llm.rows import chosen, join_common, row_table, stable
 from cairnwork.llm.simhash import fingerprint_links
-from cairnwork.storage import discard, materialize
+from cairnwork.storage import discard, materialize, working
 
 # Shingle width in words, least similarity in hundredths, MinHash bands and hashes of a band.
 WIDTH, PERCENT, BANDS, DEPTH = 5, 80, 25, 5
@@ -225,8 +225,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = row_table(docs, id=F.col(id_col), text=F.col(text_col).cast("binary"))
     rows = rows.select(F.struct(F.col("id").isNull().alias("z"), "id", "row").alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
+    with working() as keep:
+        return chosen(docs, keep(materialize(_representatives(rows, docs, kind, text_col, bucket), "kept-rows")))
+
+
+def _representatives(rows: DataFrame, docs: DataFrame, kind: str, text_col: str, bucket: int) -> DataFrame:
+    """The ``row`` of the text that stays of each component."""
     signed = materialize(rows.mapInArrow(_signatures, f"row {kind}, fp bigint, print bigint, n int, keys array<bigint>"), "signatures")
     classes = materialize(signed.groupBy("fp").agg(F.first("print").alias("print"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("row").alias("rep")).withColumn("row", F.col("rep.row")), "classes")
     labels = connected_components(similar_links(classes, docs, text_col, bucket))
     rooted = classes.join(labels, classes.fp == labels.node, "left").select("rep", F.coalesce("label", "fp").alias("root"))
-    return chosen(docs, rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias("row")))
+    return rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.row").alias("row"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnwork.llm.bpe import PIECES, Memo, Splitter, byte_letters, chunked, uncollected
-from cairnwork.storage import materialize, work_dir
+from cairnwork.storage import discard_folder, materialize, work_dir
 
 ORC_OPTIONS = {
     "compression": "zstd", "orc.row.index.stride": "5000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
@@ -113,8 +113,14 @@ def token_table(tokens: DataFrame) -> DataFrame:
 
 
 def tokens_via_orc(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """Writes the token files of ``docs`` in the shared folder and returns the table read back from them."""
+    """Writes the token files of ``docs`` in the shared folder and returns the table read back from them, which is written itself; then the files go.
+
+    Null, empty and very long texts, repeated and null ids as in ``write_tokens``; other columns are not read; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     out = f"{work_dir(spark)}/cairnwork/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, vocabulary, out, end_id)
-    return token_table(read_tokens(spark, out))
+    try:
+        write_tokens(docs, vocabulary, out, end_id)
+        return token_table(read_tokens(spark, out))
+    finally:
+        discard_folder(spark, out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnwork.storage import materialize
@@ -90,3 +90,16 @@ def ordinals(df: DataFrame, *order: str) -> DataFrame:
     return materialize(
         placed.withColumn("part", F.shiftright("_at", 33)).withColumn("at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), "ordered"
     )
+
+
+def places(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``place``: 1, 2, ... in each group by ``order``, with no group in one task; groups are not null.
+
+    Rows are range-sorted by (group, order); a place is a row's place in its range, less the group's
+    first there, plus the group's rows in ranges before.
+    """
+    placed = ordinals(df, group, *order)
+    parts = placed.groupBy("part", group).agg(F.min("at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    return placed.join(starts, ["part", group]).withColumn("place", F.col("at") + F.col("_start")).drop("part", "at", "_start")

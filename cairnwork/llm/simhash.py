@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cairnwork.llm.components import connected_components
 from cairnwork.llm.rows import join_common
-from cairnwork.storage import materialize
+from cairnwork.storage import materialize, working
 
 # The generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY_POLYNOMIAL = 0b101011100011
@@ -138,13 +138,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows with a null id keep a row and take the component of their fingerprint, null if no
     row of the component has an id. Other columns are not read.
     """
-    fps = materialize(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    labels = connected_components(fingerprint_links(classes))
-    rooted = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", "n", F.coalesce("label", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes")), "components")
-    named = materialize(join_common(rooted, least, ["root"], "classes").select("fp", "n", "component_id"), "named")
+    with working() as keep:
+        fps = keep(materialize(with_fingerprints(docs, id_col, text_col, width), "fingerprints"))
+        classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+        labels = connected_components(fingerprint_links(classes))
+        rooted = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", "n", F.coalesce("label", "fp").alias("root"))
+        rooted = materialize(rooted, "rooted")
+        least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes")), "components")
+        named = keep(materialize(join_common(rooted, least, ["root"], "classes").select("fp", "n", "component_id"), "named"))
     return join_common(fps, named, ["fp"], "n").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

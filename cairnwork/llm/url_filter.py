@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnwork.llm.rows import join_common, row_table, stable
-from cairnwork.storage import discard, materialize
+from cairnwork.storage import materialize, working
 
 WORDS = 8
 BITS_PER_ENTRY = 16
@@ -93,20 +93,20 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     (``join_common``); only the list's distinct shapes, at most as many as the longest
     rule's labels times its length, are brought to the driver.
     """
-    listed = materialize(canonical(rules), "listed")
-    shapes = [tuple(r) for r in listed.select("labels", "length").distinct().sort("labels", "length").collect()]
     host, path = host_and_path(F.col(url_col))
     pages = stable(pages)
     rows = row_table(pages, id=F.col(id_col), host=host, path=path)
-    if not shapes:
-        discard(listed)
-        return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    blocks = max(1, min(most_blocks, listed.count() * bits_per_entry // (64 * WORDS)))
-    held = materialize(bloom_blocks(listed, blocks), "bloom")
-    fitting = F.filter(F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("length")) for a, b in shapes]), lambda s: (s["labels"] <= _labels(F.col("host"))) & (s["length"] <= F.length("path")))
-    key = F.transform(fitting, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.left(F.col("path"), s["length"])))
-    hits = materialize(possible(rows.where("host <> ''").select("row", F.explode(key).alias("key")), held, blocks), "possible")
-    exact = materialize(hits.groupBy("key").agg(F.count("*").alias("n")).join(listed, "key"), "exact")
+    with working() as keep:
+        listed = materialize(canonical(rules), "listed")
+        shapes = [tuple(r) for r in listed.select("labels", "length").distinct().sort("labels", "length").collect()]
+        if not shapes:
+            return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+        blocks = max(1, min(most_blocks, listed.count() * bits_per_entry // (64 * WORDS)))
+        held = materialize(bloom_blocks(listed, blocks), "bloom")
+        fitting = F.filter(F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("length")) for a, b in shapes]), lambda s: (s["labels"] <= _labels(F.col("host"))) & (s["length"] <= F.length("path")))
+        key = F.transform(fitting, lambda s: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"]), F.left(F.col("path"), s["length"])))
+        hits = keep(materialize(possible(rows.where("host <> ''").select("row", F.explode(key).alias("key")), held, blocks), "possible"))
+        exact = keep(materialize(hits.groupBy("key").agg(F.count("*").alias("n")).join(listed, "key"), "exact"))
     rank = F.struct(F.length("key").alias("size"), (-F.col("length")).alias("host"), F.col("key"), F.col("verdict"))
     best = join_common(hits, exact, ["key"], "n").groupBy("row").agg(F.max(rank).alias("best"))
     out = rows.join(best, "row", "left")
