@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cairnwork.llm import bpe, exact, mixing, neardup, quality
 from cairnwork.llm.queries import vocabulary_path
 from cairnwork.llm.rows import short_batches
-from cairnwork.storage import load, materialize
+from cairnwork.storage import discard, load, materialize, working
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     short_batches(spark)
     docs = load(spark, sf_dir, "documents")
+    before = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with working() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
