@@ -1,4 +1,4 @@
-"""Queries that write tables by version in the work folder and read them back."""
+"""Queries that write tables by version and workbooks in the work folder and read them back."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from cairnwork.plans.registry import query
-from cairnwork.sinks import versions
+from cairnwork.sinks import versions, workbooks
+from cairnwork.sources import workbooks as read
 from cairnwork.storage import load, work_dir
 
 
@@ -38,3 +39,18 @@ def _(s, d):
     source = _labels(s, d)
     versions.refresh_view(s, f"{source}-view", [source], lambda rows: rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("quality").alias("good")), "toxic")
     return versions.read(s, f"{source}-view").select(F.col("toxic").cast("int").alias("toxic"), "n", "good")
+
+
+@query("SNK_11_workbook_cells", """
+    WITH r AS (SELECT r_name AS book, n_name AS section, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY r_name, n_name ORDER BY c_custkey) AS place
+               FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    cells AS (SELECT book, section, 'A' || (place + 1) AS cell, CAST(c_custkey AS VARCHAR) AS value FROM r UNION ALL SELECT book, section, 'B' || (place + 1), c_name FROM r UNION ALL SELECT book, section, 'C' || (place + 1), c_mktsegment FROM r
+              UNION ALL SELECT DISTINCT book, section, h.cell, h.value FROM r, (VALUES ('A1', 'c_custkey'), ('B1', 'c_name'), ('C1', 'c_mktsegment')) h(cell, value))
+    SELECT replace(book, ' ', '-') || '.xlsx' AS file, section AS sheet, cell, value FROM cells""")
+def _(s, d):
+    nations = load(s, d, "nation").join(load(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = load(s, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    folder = f"{work_dir(s)}/cairnwork/books-{uuid.uuid4().hex}"
+    books = workbooks.workbooks(rows, "r_name", "n_name", ["c_custkey", "c_name", "c_mktsegment"], ["c_custkey"])
+    workbooks.write_workbooks(books, "r_name", folder).write.format("noop").mode("overwrite").save()
+    return read.workbook_cells(s, f"{folder}/*.xlsx").select(F.substring_index("file", "/", -1).alias("file"), "sheet", "cell", "value")
