@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cairnwork.plans.registry import query
+from cairnwork.plans.registry import ORACLE_SQL, query
 from cairnwork.sinks import versions, workbooks
+from cairnwork.sources import archives
 from cairnwork.sources import workbooks as read
 from cairnwork.storage import load, work_dir
 
@@ -48,9 +49,19 @@ def _(s, d):
               UNION ALL SELECT DISTINCT book, section, h.cell, h.value FROM r, (VALUES ('A1', 'c_custkey'), ('B1', 'c_name'), ('C1', 'c_mktsegment')) h(cell, value))
     SELECT replace(book, ' ', '-') || '.xlsx' AS file, section AS sheet, cell, value FROM cells""")
 def _(s, d):
+    return read.workbook_cells(s, f"{_books(s, d)}/*.xlsx").select(F.substring_index("file", "/", -1).alias("file"), "sheet", "cell", "value")
+
+
+def _books(s, d):
+    """A folder with a workbook of each region, in which each nation has a sheet of its customers."""
     nations = load(s, d, "nation").join(load(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = load(s, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     folder = f"{work_dir(s)}/cairnwork/books-{uuid.uuid4().hex}"
     books = workbooks.workbooks(rows, "r_name", "n_name", ["c_custkey", "c_name", "c_mktsegment"], ["c_custkey"])
     workbooks.write_workbooks(books, "r_name", folder).write.format("noop").mode("overwrite").save()
-    return read.workbook_cells(s, f"{folder}/*.xlsx").select(F.substring_index("file", "/", -1).alias("file"), "sheet", "cell", "value")
+    return folder
+
+
+@query("SRC_11_sheet_partitions", ORACLE_SQL["SNK_11_workbook_cells"])
+def _(s, d):
+    return archives.sheet_cells(s, f"{_books(s, d)}/*.xlsx").select(F.substring_index("file", "/", -1).alias("file"), "sheet", "cell", "value")
