@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnwork.llm.licence_index import index
+
 # Sentences of public licences and notices, by identifier.
 SENTENCES = {
     "apache2-notice": "Licensed under the Apache License, Version 2.0.",
@@ -74,12 +76,23 @@ def normalise(sentence: str) -> str:
     return NOT_WORD.sub(" ", sentence).strip().lower().replace("licence", "license")
 
 
+def _joined(text: str) -> str:
+    """A sentence as it is known: its pieces normalised and put together."""
+    return " ".join(p for p in map(normalise, SENTENCE_END.split(text)) if p)
+
+
+#: The sentences and rules above with those of all families of licences.
+ALL_SENTENCES, ALL_RULES = index(SENTENCES, RULES, _joined)
+#: Words of pieces that speak of a licence.
+SPEAKS = re.compile(r"\b(?:licen[sc]e[ds]?|licensing|copyright|warrant(?:y|ies)|redistribut\w+|public domain)\b", re.IGNORECASE)
+
+
 @dataclass
 class Recogniser:
     """Known sentences by their normalised form, and rules; ``gap`` unknown sentences (or lines of one) may stand between two known ones of a rule."""
 
-    sentences: dict[str, str] = field(default_factory=lambda: SENTENCES)
-    rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES
+    sentences: dict[str, str] = field(default_factory=lambda: ALL_SENTENCES)
+    rules: tuple[tuple[str, tuple[str, ...]], ...] = ALL_RULES
     gap: int = 3
 
     def __post_init__(self) -> None:
@@ -91,6 +104,9 @@ class Recogniser:
             self.known[" ".join(words)] = name
             self.starts.update(" ".join(words[:k]) for k in range(1, len(words)))
         self.heads = {k.split(" ")[0] for k in self.known}
+        self.by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+        for rule in self.rules:
+            self.by_first.setdefault(rule[1][0], []).append(rule)
 
     def identify(self, text: str) -> list[tuple[str, int, int, int, int]]:
         """(identifier, first piece, last piece, start, end) of known sentences in order; pieces without words aren't numbered.
@@ -122,11 +138,23 @@ class Recogniser:
             i += 1
         return out
 
+    def unknown(self, text: str, found: list[tuple[str, int, int, int, int]]) -> list[str]:
+        """The pieces that speak of a licence and belong to no known sentence, without white space around them."""
+        if not SPEAKS.search(text):
+            return []
+        out, at, spans = [], 0, [(f[3], f[4]) for f in found]
+        for end in [*(stop.end() for stop in SENTENCE_END.finditer(text)), len(text)]:
+            piece = text[at:end].strip()
+            if SPEAKS.search(piece) and not any(a <= at and end <= b or a < end and at < b for a, b in spans):
+                out.append(piece)
+            at = end
+        return out
+
     def match(self, found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, str, int, int]]:
         """(licence, identifiers, start, end) of the rules that stand in the sequence, from left to right."""
         out, i = [], 0
         while i < len(found):
-            for licence, wanted in self.rules:
+            for licence, wanted in self.by_first.get(found[i][0], ()):
                 own = found[i : i + len(wanted)]
                 near = all(b[1] - a[2] <= self.gap + 1 for a, b in zip(own, own[1:], strict=False))
                 if tuple(x[0] for x in own) == wanted and near:
@@ -138,9 +166,9 @@ class Recogniser:
 
 
 def scan(docs: DataFrame, recogniser: Recogniser | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, sentences array<string>, matches array<struct<licence, rule, start, end>>)`` for each row.
+    """``(id_col, sentences array<string>, matches array<struct<licence, rule, start, end>>, unknown array<string>)`` for each row.
 
-    Starts and ends are code points. Null and empty texts have no sentences; texts are read
+    Starts and ends are code points; ``unknown`` lists pieces that speak of a licence in words that aren't known. Null and empty texts have no sentences; texts are read
     whole; the other columns are not read; an empty table gives no rows.
     """
     made = recogniser or Recogniser()
@@ -148,24 +176,26 @@ def scan(docs: DataFrame, recogniser: Recogniser | None = None, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, matches = [], []
+            names, matches, unknown = [], [], []
             for x in batch.column(1):
                 found = made.identify(x.as_py() or "")
                 names.append([f[0] for f in found])
+                unknown.append(made.unknown(x.as_py() or "", found))
                 matches.append([dict(zip(("licence", "rule", "start", "end"), m, strict=True)) for m in made.match(found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(entry))], names=["id", "sentences", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(entry)), pa.array(unknown, pa.list_(pa.string()))], names=["id", "sentences", "matches", "unknown"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, sentences array<string>, matches array<struct<licence: string, rule: string, start: int, end: int>>"
+    schema = f"id {kind}, sentences array<string>, matches array<struct<licence: string, rule: string, start: int, end: int>>, unknown array<string>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def licence_table(docs: DataFrame, recogniser: Recogniser | None = None) -> DataFrame:
-    """``(doc_id, n_sentences, sentence_ids, n_matches, licences)`` for each row of ``docs``."""
+    """``(doc_id, n_sentences, sentence_ids, n_matches, licences, n_unknown)`` for each row of ``docs``, nulls and all else as in ``scan``."""
     return scan(docs, recogniser).select(
         "doc_id",
         F.size("sentences").cast("bigint").alias("n_sentences"),
         F.array_join("sentences", " ").alias("sentence_ids"),
         F.size("matches").cast("bigint").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.col("matches.licence"))), ",").alias("licences"),
+        F.size("unknown").cast("bigint").alias("n_unknown"),
     )
