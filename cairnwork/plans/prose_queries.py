@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnwork.operators import forms, prose, slices
+from cairnwork.operators import cleaning, forms, prose, slices
 from cairnwork.plans.registry import query
 from cairnwork.storage import load
 
@@ -193,3 +193,29 @@ G. ANNUAL EXPENSES')"""
     UNION ALL SELECT c_custkey, 'E.120', c_name FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'E.305', 'X' FROM customer UNION ALL SELECT c_custkey, 'F.207', 'X' FROM customer WHERE c_custkey % 7 = 0""")
 def _(s, d):
     return prose.marked_options(_texts(s, d, OPTIONS), "c_custkey", "text")
+
+
+WHOLE = """concat('## C
+| Id | Prompt | Answer |
+|---|---|---|
+| C101 | men who applied | ', CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR(9)) END, ' |
+| women who applied | 1,', CAST(100 + c_nationkey AS VARCHAR(9)), ' | |
+
+C101 men who applied ', CAST(c_nationkey AS VARCHAR(9)), '
+C103 others: ', CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE 'not given' END, '
+For Two-Year Institutions
+B12 cohort: ', CAST(c_nationkey AS VARCHAR(9)), ' 6
+- B22 For the cohort the rate is ', CAST(c_nationkey AS VARCHAR(9)), '.5 %
+Admission ', CASE WHEN c_custkey % 5 = 0 THEN 'yield' ELSE 'retention' END, ' is 44%.
+')"""
+
+
+@query("T_02_clean_driver", """
+    SELECT c_custkey, 'C.101' AS field, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_nationkey AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END AS value, CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS source FROM customer
+    UNION ALL SELECT c_custkey, 'C.102', '1' || (100 + c_nationkey), 0 FROM customer UNION ALL SELECT c_custkey, 'C.103', 'x', 1 FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_custkey, 'B.1201', CAST(c_nationkey AS VARCHAR), 3 FROM customer UNION ALL SELECT c_custkey, 'B.1202', '6', 3 FROM customer
+    UNION ALL SELECT c_custkey, 'B.2203', CASE WHEN c_custkey % 5 = 0 THEN c_nationkey || '.5' ELSE '44' END, CASE WHEN c_custkey % 5 = 0 THEN 4 ELSE 2 END FROM customer""")
+def _(s, d):
+    fields = s.createDataFrame([("C.101",), ("C.103",)], "field string")
+    resolvers = [lambda docs, rows: prose.two_year_rates(docs, "c_custkey", "text"), lambda docs, rows: prose.retention_rate(docs, "c_custkey", "text")]
+    return cleaning.clean(_texts(s, d, WHOLE), "c_custkey", "text", fields, [("women who applied", "C.102", 0)], [("admission retention", r"(\d+)%", "B.2203")], resolvers)
