@@ -109,6 +109,7 @@ def cms(headers: Column, url: Column) -> Column:
     low = F.lower(F.coalesce(url, F.lit("")))
     return (
         F.when(head("x-generator").contains("drupal") | head("server").contains("drupal"), "drupal").when(head("x-generator").contains("wordpress") | head("x-powered-by").contains("wordpress"), "wordpress")
+        .when(head("server").contains("microsoft-iis") & head("x-powered-by").contains("asp.net") & F.coalesce(url, F.lit("")).contains("/_layouts/"), "sharepoint")
         .when(low.contains("/wp-content/") | low.contains("/wp-json/"), "wordpress").when(low.contains("/sites/default/files/") | low.contains("/_default_"), "drupal")
         .when(low.contains("/_layouts/") | low.contains("/sitepages/"), "sharepoint").otherwise("unknown")
     )
