@@ -54,3 +54,10 @@ def latest_overlay(base: DataFrame, extra: DataFrame, on: Sequence[str], fits: s
     pairs = rows.select("_base", *base.columns).distinct().alias("b").join(extra.alias("e"), F.expr(f"{equal} AND ({fits})"))
     best = pairs.groupBy("_base").agg(F.min_by(F.struct(*[F.col(f"e.{c}") for c in columns]), F.struct(*order)).alias("_best"))
     return rows.join(best, "_base", "left").select(*base.columns, *[F.col(f"_best.{c}") for c in columns])
+
+
+def missing(ours: DataFrame, theirs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``ours`` whose key is not in ``theirs``; a null part of a key equals a null part."""
+    other = theirs.select(*[F.col(k).alias(f"_t_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    return ours.join(other, same, "left_anti")

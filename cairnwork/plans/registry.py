@@ -12,9 +12,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None) -> Callable[[Query], Query]:
-    """Registers a query; ``sql`` is None where SQL can't express it."""
+    """Registers a query; ``sql`` is None where SQL can't express it. Each name stands once."""
 
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is there already")
         QUERIES[name] = f
         if sql is not None:
             ORACLE_SQL[name] = sql
