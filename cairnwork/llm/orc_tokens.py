@@ -34,13 +34,14 @@ def library_words(path: str) -> Callable[[list[bytes]], Iterable[bytes]]:
     model, letters = tokenizer.model, byte_letters()
     split = Splitter({t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}).pieces
     known: dict[bytes | int, bytes] = {}
+    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def piece(part: bytes | int) -> bytes:
         if isinstance(part, int):
-            ids = [part]
+            known[part] = found = packed[part]
         else:
-            ids = [t.id for t in model.tokenize(part.decode() if part.isalnum() else "".join(letters[b] for b in part))]
-        known[part] = found = np.array(ids, dtype="<u4").tobytes()
+            text = part.decode() if part.isalnum() else "".join([letters[b] for b in part])
+            known[part] = found = b"".join([packed[t.id] for t in model.tokenize(text)])
         return found
 
     def encode(words: list[bytes]) -> Iterable[bytes]:
