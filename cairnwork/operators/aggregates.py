@@ -22,10 +22,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[f
     return found.select(*keys, *[F.round(F.col("_p")[i], digits).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
-def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], digits: int = 4) -> DataFrame:
+def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], digits: int | None = 4) -> DataFrame:
     """``quantiles`` for groups of any size: a range sort gives each value its place, and only the neighbours of the wanted places are picked.
 
-    Keys without a value have no row. No task holds more than its range of the sort.
+    Keys without a value have no row. Nothing is rounded if ``digits`` is None. No task holds more than its range of the sort.
     """
     placed = group_places(df.select(*keys, value).where(F.col(value).isNotNull()), keys, [value])
     at = {f"p{round(100 * p)}": (F.col("_count") - 1) * F.lit(float(p)) for p in points}
@@ -35,7 +35,8 @@ def ranked_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Seq
         aggs += [F.max(F.when(F.col("_place") == low, F.col(value))).alias(f"_low_{name}"), F.max(F.when(F.col("_place") == high, F.col(value))).alias(f"_high_{name}"), F.max(place - low).alias(f"_part_{name}")]
     wanted = reduce(lambda a, b: a | b, [(F.col("_place") == F.floor(p)) | (F.col("_place") == F.ceil(p)) for p in at.values()])
     picked = placed.where(wanted).groupBy(*keys).agg(*aggs)
-    return picked.select(*keys, *[F.round(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}"), digits).alias(n) for n in at])
+    found = {n: F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}") for n in at}
+    return picked.select(*keys, *[(v if digits is None else F.round(v, digits)).alias(n) for n, v in found.items()])
 
 
 def with_total(df: DataFrame, key: str, aggs: Sequence[Column], label: str = "TOTAL") -> DataFrame:

@@ -190,3 +190,15 @@ def recently_probed(found: Column, probed: Column, now: Column, days: float) ->
     """Whether to skip a site: found already, or probed within ``days``; a time that can't be read counts as long ago, a site never probed isn't skipped."""
     passed = F.coalesce(F.timestamp_diff("SECOND", probed.try_cast("timestamp_ntz"), now) / 86400, F.lit(999.0))
     return F.coalesce(found, F.lit(False)) | (probed.isNotNull() & (passed < days))
+
+
+def rising_triplets(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """``(key, triplet)``: each key's first three values in a row that don't fall, null if there are none.
+
+    Values come by ``order`` and are compared with the two after them as they pass: no key's values are collected.
+    """
+    by = Window.partitionBy(key).orderBy(*order)
+    own, second, third = F.col(value), F.lead(value, 1).over(by), F.lead(value, 2).over(by)
+    marked = df.select(key, *order, own.alias("_a"), second.alias("_b"), third.alias("_c"))
+    rises = F.col("_a").isNotNull() & (F.col("_a") <= F.col("_b")) & (F.col("_b") <= F.col("_c"))
+    return marked.groupBy(key).agg(F.min_by(F.array("_a", "_b", "_c"), F.when(rises, F.struct(*order))).alias("triplet"))

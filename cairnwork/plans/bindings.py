@@ -230,7 +230,7 @@ def _(s, d):
 
 @query("A_09_median", "SELECT event_type, median(value) AS mid FROM events GROUP BY 1")
 def _(s, d):
-    return load(s, d, "events").groupBy("event_type").agg(F.median("value").alias("mid"))
+    return A.ranked_quantiles(load(s, d, "events"), ["event_type"], "value", [0.5], None).withColumnRenamed("p50", "mid")
 
 
 @query("A_22_run_summary", "SELECT round(count(*) FILTER (WHERE event_type = 'error') * 1.0 / count(*), 4) AS error_rate, count(DISTINCT user_id) AS users FROM events")

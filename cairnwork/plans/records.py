@@ -127,8 +127,10 @@ def _(s, d):
     (SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' WHEN n_chars < 10000000 THEN 'long' ELSE 'huge' END AS bucket, count(*) AS n, count(DISTINCT source) AS keys, median(n_chars) AS mid FROM documents GROUP BY 1) s ON l.bucket = s.bucket""")
 def _(s, d):
     names = ["short", "medium", "long", "huge"]
-    summary = load(s, d, "documents").groupBy(A.bucket(F.col("n_chars"), [500, 2000, 10_000_000], names).alias("bucket")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("keys"), F.median("n_chars").alias("mid"))
-    return A.with_all_labels(summary, "bucket", names, ["n", "keys"])
+    rows = load(s, d, "documents").select(A.bucket(F.col("n_chars"), [500, 2000, 10_000_000], names).alias("bucket"), "source", F.col("n_chars").cast("double").alias("n_chars"))
+    summary = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("source").alias("keys"))
+    middle = A.ranked_quantiles(rows, ["bucket"], "n_chars", [0.5], None).withColumnRenamed("p50", "mid")
+    return A.with_all_labels(summary.join(middle, "bucket", "left"), "bucket", names, ["n", "keys"])
 
 
 @query("A_16_answerability", """

@@ -175,8 +175,8 @@ def _(s, d):
 @query("T_15_rising_triplet", """
     SELECT user_id, list_filter([CASE WHEN v[i] <= v[i + 1] AND v[i + 1] <= v[i + 2] THEN CAST(v[i] AS VARCHAR) || ',' || v[i + 1] || ',' || v[i + 2] END for i in range(1, len(v) - 1)], lambda x: x IS NOT NULL)[1] AS triplet FROM (SELECT user_id, list(CAST(floor(value) AS BIGINT) ORDER BY ts, event_id) AS v FROM events GROUP BY 1)""")
 def _(s, d):
-    lists = load(s, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.floor("value").alias("v")))), lambda x: x["v"]).alias("v"))
-    return lists.select("user_id", F.array_join(D.first_rising_triplet(F.col("v")).cast("array<string>"), ",").alias("triplet"))
+    rows = load(s, d, "events").select("user_id", "ts", "event_id", F.floor("value").alias("v"))
+    return D.rising_triplets(rows, "user_id", ["ts", "event_id"], "v").select("user_id", F.array_join(F.col("triplet").cast("array<string>"), ",").alias("triplet"))
 
 
 @query("T_16_targets", """
@@ -230,8 +230,9 @@ def _index(s, d):
     even = F.col("p_partkey") % 2 == 0
     question = F.struct(F.when(even, F.col("p_name")).otherwise(F.replace("p_name", F.lit("a"), F.lit("o"))).alias("row_label"), F.array(F.struct(F.col("p_type").alias("header"))).alias("columns"))
     rows = load(s, d, "part").select(F.when(even, "A").otherwise("B").alias("version"), F.col("p_brand").alias("id"), "p_partkey", question.alias("q"))
-    subs = rows.groupBy("version", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "q"))), lambda x: x["q"]).alias("questions"))
-    forms = subs.groupBy("version").agg(F.array(F.struct(F.array_sort(F.collect_list(F.struct("id", "questions"))).alias("subsections"))).alias("sections"))
+    # a form is a version's questions of one brand and a thousand keys, so forms grow in number and not in size
+    forms = rows.groupBy("version", "id", F.floor(F.col("p_partkey") / 1000).alias("form")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "q"))), lambda x: x["q"]).alias("questions"))
+    forms = forms.select("version", F.array(F.struct(F.array(F.struct("id", "questions")).alias("subsections"))).alias("sections"))
     return S.flat_index(forms)
 
 
