@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,3 +128,9 @@ def first_reason(reasons: Sequence[tuple[Column, str]], otherwise: str) -> Colum
     for test, name in reversed(reasons):
         out = F.when(test, name).otherwise(out)
     return out
+
+
+def under_policy(df: DataFrame, policies: Mapping[str, Sequence[Column]], role: str) -> DataFrame:
+    """The rows that a role may see: those that one of its policies is true for. A role without policies sees none, and a null is no."""
+    rules = list(policies.get(role, ()))
+    return df.where(reduce(lambda a, b: a | b, [F.coalesce(r, F.lit(False)) for r in rules], F.lit(False)))

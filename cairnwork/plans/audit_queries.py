@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions import scalars as X
 from cairnwork.operators import audits as A
+from cairnwork.operators import filters as L
 from cairnwork.operators import joins as J
 from cairnwork.operators import queue as Q
 from cairnwork.plans.registry import query
 from cairnwork.sinks import snapshots
 from cairnwork.sources import directory
+from cairnwork.sources.readers import page_links
 from cairnwork.storage import load
 
 
@@ -172,3 +174,19 @@ def _(s, d):
 @query("D_29_run_ids", "SELECT DISTINCT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS run_id FROM (SELECT sha256('daily-' || strftime(ts, '%Y-%m-%d')) AS h FROM events)")
 def _(s, d):
     return load(s, d, "events").select(X.shaped_uuid(F.concat(F.lit("daily-"), F.date_format("ts", "yyyy-MM-dd"))).alias("run_id")).distinct()
+
+
+@query("F_11_policy_rows", """
+    SELECT 'public' AS role, doc_id FROM labels WHERE quality = 1 AND toxic = 0 UNION ALL SELECT 'reviewer', doc_id FROM labels WHERE (quality = 1 AND toxic = 0) OR CASE WHEN doc_id % 3 > 0 THEN toxic = 1 END""")
+def _(s, d):
+    open_rows = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    policies = {"public": [open_rows], "reviewer": [open_rows, F.when(F.col("doc_id") % 3 > 0, F.col("toxic") == 1)]}
+    seen = [L.under_policy(load(s, d, "labels"), policies, role).select(F.lit(role).alias("role"), "doc_id") for role in ("public", "reviewer", "stranger")]
+    return seen[0].union(seen[1]).union(seen[2])
+
+
+@query("SRC_21_links_by_tags", r"""
+    WITH m AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages)
+    SELECT page_id, CAST(p - 1 AS INTEGER) AS position, h[p] AS href, trim(regexp_replace(t[p], '<[^>]*>', '', 'g')) AS label FROM (SELECT page_id, h, t, unnest(range(1, len(h) + 1)) AS p FROM m)""")
+def _(s, d):
+    return page_links(load(s, d, "pages"))

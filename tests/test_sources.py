@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions.scalars import shaped_uuid
 from cairnwork.operators import forms as T
+from cairnwork.operators.filters import under_policy
 from cairnwork.sinks import files
 from cairnwork.sources import readers
 
@@ -60,6 +61,21 @@ def test_anchors_of_any_quotes(spark):
     assert [(r.position, r.href, r.label) for r in out] == [(0, "/a", "one bold"), (1, "b?x=1", "two"), (2, "c.pdf", "three")]
 
 
+def test_links_by_tags(spark):
+    html = """<!-- <a href="/hidden">no</a> --><a title="a > b" href="/a">one <b>bold</b>
+      line</a><A HREF=/b>two<a href='/c'>three &amp; more</a> after <a name="n">none</a><script>var x = '<a href="/s">s</a>';</script><a href=" /d "></a><a href>x</a>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "no links"), (4, "")], "page_id int, html string")
+    got = [(r.page_id, r.position, r.href, r.label) for r in readers.page_links(pages).orderBy("page_id", "position").collect()]
+    assert got == [(1, 0, "/a", "one bold line"), (1, 1, "/b", "two"), (1, 2, "/c", "three & more"), (1, 3, "/d", "")]
+
+
+def test_policies(spark):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, open boolean")
+    policies = {"all": [F.col("open"), F.col("id") == 2], "none": []}
+    assert sorted(r.id for r in under_policy(rows, policies, "all").collect()) == [1, 2]
+    assert under_policy(rows, policies, "none").count() == under_policy(rows, policies, "other").count() == 0
+
+
 def test_formats(spark):
     zipped = b"PK\x03\x04"
     rows = [(b"%PDF-1.7",), (zipped + b"..xl/workbook.xml",), (zipped + b"..word/document.xml",), (zipped,), (b" <!DOCTYPE html>",), (b"",), (None,)]
