@@ -123,12 +123,12 @@ def _(s, d):
 
 @query("SRC_09_directory", """
     WITH w AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS n, c_custkey % 3 AS lvl, c_custkey % 5 AS deg, c_custkey % 7 = 0 AS shut FROM customer)
-    SELECT CASE WHEN k < 1000000 THEN lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END AS ipeds_id, c_name AS school_name, n AS undergraduate_enrollment, NOT shut AS currently_operating,
+    SELECT CASE WHEN k < 1000000 THEN lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END AS ipeds_id, c_name AS school_name, CAST(n AS DOUBLE) AS undergraduate_enrollment, NOT shut AS currently_operating,
         CASE WHEN shut THEN 'closed' WHEN coalesce(n, 0) <= 0 THEN 'no_undergraduate_enrollment' WHEN lvl NOT IN (1, 2) THEN 'not_two_or_four_year' WHEN deg NOT IN (2, 3, 4) THEN 'non_degree_predominant' END AS exclusion_reason FROM w WHERE k > 0""")
 def _(s, d):
     k = F.col("c_custkey")
     wide = load(s, d, "customer").select(F.concat(k.cast("string"), F.lit(".0")).alias("UNITID"), F.col("c_name").alias("INSTNM"), F.when(k % 4 > 0, F.concat(F.col("c_nationkey").cast("string"), F.lit(".0"))).otherwise("PrivacySuppressed").alias("UGDS"), (k % 3).alias("ICLEVEL"), (k % 5).alias("PREDDEG"), F.when(k % 7 == 0, 0).otherwise(1).alias("CURROPER"))
-    return directory.directory_rows(wide, "2023").select("ipeds_id", "school_name", "undergraduate_enrollment", "currently_operating", "exclusion_reason")
+    return directory.directory_rows(wide, "2023").select("ipeds_id", "school_name", F.col("undergraduate_enrollment").cast("double").alias("undergraduate_enrollment"), "currently_operating", "exclusion_reason")
 
 
 @query("SNK_12_latest_facts", """

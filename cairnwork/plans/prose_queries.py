@@ -29,11 +29,11 @@ LINED = """concat(CASE doc_id % 5 WHEN 0 THEN '## C13. ' WHEN 1 THEN concat('- c
     ended AS (SELECT b.doc_id, b.code, b.strategy, b.place, least(coalesce(later, most), n) AS stop FROM spans b LEFT JOIN laters l ON l.doc_id = b.doc_id AND l.code = b.code),
     judged AS (SELECT *, strategy IS NOT NULL AND (strategy < 5 OR stop - place < 250) AS found FROM ended)
     SELECT j.doc_id, code, ['h2_code', 'h3_code', 'bullet_code', 'bold_code', 'anchor_phrase', 'bounded_window', 'unresolved'][CASE WHEN found THEN strategy ELSE 6 END + 1] AS strategy,
-           CAST(CASE WHEN found THEN place END AS INTEGER) AS start, CAST(CASE WHEN found THEN stop END AS INTEGER) AS stop, md5(CASE WHEN found THEN array_to_string(w[place + 1:stop], chr(10)) ELSE '' END) AS text_md5
+           CAST(CASE WHEN found THEN place END AS DOUBLE) AS start, CAST(CASE WHEN found THEN stop END AS DOUBLE) AS stop, md5(CASE WHEN found THEN array_to_string(w[place + 1:stop], chr(10)) ELSE '' END) AS text_md5
     FROM judged j JOIN d USING (doc_id)""")
 def _(s, d):
     docs = load(s, d, "documents").select("doc_id", F.expr(LINED).alias("text"))
-    return slices.slices(docs, "doc_id", "text", ["C13", "C14", "D2", "J1"]).select("doc_id", "code", "strategy", "start", "stop", F.md5("text").alias("text_md5"))
+    return slices.slices(docs, "doc_id", "text", ["C13", "C14", "D2", "J1"]).select("doc_id", "code", "strategy", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"), F.md5("text").alias("text_md5"))
 
 
 def _texts(s, d, text):
