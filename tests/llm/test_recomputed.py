@@ -178,7 +178,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     ours, theirs = QUERIES[name](spark, SF).toPandas(), db.execute(ORACLE_SQL[name]).df()
     columns = sorted(theirs.columns)
