@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairnwork.llm import mixing, queries, rows
-from cairnwork.storage import discard, load, materialize, work_dir, working
+from cairnwork.storage import discard, materialize, work_dir, working
 
 SF = "/root/testdata/sf0.001"
 #: Tables that a query's result itself reads.
