@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 HEADING = "^#{1,6}\\s+"
 
 
+def spread(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` dealt by id over spark.sql.shuffle.partitions tasks: what reads texts row by row isn't one task for a file of one row group, and windows by id need no other shuffle."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id_col, at, line)`` with ``at`` from 0; null texts have no lines."""
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
