@@ -76,14 +76,18 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def after_label(text: Column, label: str, value: str) -> Column:
-    """The value behind a label, on whatever lines and in whatever cells both stand."""
-    return found(compact(text), f"(?i){label}\\s*:?\\s*({value})")
+def after_label(flat: Column, label: str, value: str) -> Column:
+    """The value behind a label in a ``compact`` text, on whatever lines and in whatever cells both stood."""
+    return found(flat, f"(?i){label}\\s*:?\\s*({value})")
 
 
-def yes_no_after(text: Column, label: str) -> Column:
-    """Yes or No behind a label, also with blanks between the letters; N/A is No."""
-    joined = F.regexp_replace(F.regexp_replace(compact(text), "(?i)\\bY\\s*e\\s*s\\b", "Yes"), "(?i)\\bN\\s*o\\b", "No")
+def joined_answers(flat: Column) -> Column:
+    """A ``compact`` text whose Yes and No have no blanks between their letters."""
+    return F.regexp_replace(F.regexp_replace(flat, "(?i)\\bY\\s*e\\s*s\\b", "Yes"), "(?i)\\bN\\s*o\\b", "No")
+
+
+def yes_no_after(joined: Column, label: str) -> Column:
+    """Yes or No behind a label in a text of ``joined_answers``; N/A is No."""
     answer = F.lower(found(joined, f"(?i){label}\\s*:?\\s*(Yes|No|N/A|NA)\\b"))
     return F.when(answer == "yes", "Yes").when(answer.isNotNull(), "No")
 
@@ -103,7 +107,8 @@ def yes_no_columns(text: Column, question: str) -> Column:
             F.when(state["answer"].isNull() & ~heads & asked, near).otherwise(state["answer"]).alias("answer"),
         )
 
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\\r?\\n"), start, step, lambda s: s["answer"])
+    lines = F.split(F.coalesce(text, F.lit("")), "\\r?\\n")
+    return F.aggregate(F.filter(lines, lambda x: x.rlike(f"(?i)\\bYes\\b\\s+\\bNo\\b|(?:{question})")), start, step, lambda s: s["answer"])
 
 
 def month_and_day(date: Column) -> tuple[Column, Column]:
@@ -284,19 +289,24 @@ def grade_average(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def application_policies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Fee, amount, waivers, closing date and priority date, by columns of marks first and by words behind the question else."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = spread(docs.select(id_col, text_col), id_col)
     docs = docs.select(id_col, text.alias("_text"), between(text, "C13\\.?\\s+Application Fee", "C14\\.?\\b").alias("_fee"), between(text, "C14\\.?\\s+Application closing date", "C15\\.?\\b").alias("_closing"))
     docs = docs.withColumn("_dates", F.when(F.col("_closing") != "", F.col("_closing")).otherwise(F.col("_text")))
     text, fee, dates = F.col("_text"), F.col("_fee"), F.col("_dates")
+    docs = docs.withColumns({"_fee_flat": compact(fee), "_dates_flat": compact(dates)})
     date = "\\d{1,2}/\\d{1,2}|\\d{1,2}-[A-Za-z]{3,4}|[A-Za-z]{3,9}-\\d{1,2}|[A-Za-z]{3,9}\\s+\\d{1,2}(?:,\\s*[^|]+)?"
-    closing, priority = month_and_day(after_label(dates, "Application closing date \\(fall\\)", date)), month_and_day(after_label(dates, "Priority Date", date))
+    docs = docs.withColumns({
+        "_fee_said": joined_answers(F.col("_fee_flat")), "_closes": after_label(F.col("_dates_flat"), "Application closing date \\(fall\\)", date), "_priority": after_label(F.col("_dates_flat"), "Priority Date", date),
+    })
+    said, closing, priority = F.col("_fee_said"), month_and_day(F.col("_closes")), month_and_day(F.col("_priority"))
     same = text.rlike("(?i)(?:^|\\n)\\s*(?:-\\s*\\[\\s*\\]\\s*)?x\\s+Same fee\\b") | fee.rlike("(?i)\\bSame fee\\b\\s*(?:\\|\\s*)?x\\b")
     return claimed(docs, id_col, {
-        "C.1301": F.when(fee != "", F.coalesce(yes_no_columns(fee, FEE), yes_no_after(fee, FEE))),
-        "C.1302": cell_number(after_label(fee, "Amount of application fee:\\s*\\$?", "\\d[\\d,]*")),
-        "C.1303": F.when(text.rlike(f"(?is){WAIVED}.{{0,200}}\\bx\\b"), "Yes").otherwise(yes_no_after(fee, WAIVED)),
+        "C.1301": F.when(fee != "", F.coalesce(yes_no_columns(fee, FEE), yes_no_after(said, FEE))),
+        "C.1302": cell_number(after_label(F.col("_fee_flat"), "Amount of application fee:\\s*\\$?", "\\d[\\d,]*")),
+        "C.1303": F.when(text.rlike(f"(?is){WAIVED}.{{0,200}}\\bx\\b"), "Yes").otherwise(yes_no_after(said, WAIVED)),
         "C.1304": F.when(same, "X"),
-        "C.1305": F.coalesce(yes_no_columns(text, ONLINE), yes_no_after(fee, f"{ONLINE}(?: with(?: financial need)?)?")),
-        "C.1401": F.coalesce(yes_no_columns(dates, CLOSING), yes_no_after(dates, CLOSING)),
+        "C.1305": F.coalesce(yes_no_columns(text, ONLINE), yes_no_after(said, f"{ONLINE}(?: with(?: financial need)?)?")),
+        "C.1401": F.coalesce(yes_no_columns(dates, CLOSING), yes_no_after(joined_answers(F.col("_dates_flat")), CLOSING)),
         "C.1402": closing[0], "C.1403": closing[1], "C.1404": priority[0], "C.1405": priority[1],
     })
 

@@ -5,7 +5,7 @@ import pytest
 from cairnwork.operators import prose
 
 
-@pytest.mark.parametrize("read", [prose.marked_options])
+@pytest.mark.parametrize("read", [prose.marked_options, prose.application_policies])
 def test_texts_of_one_partition_are_dealt_over_tasks(spark, read):
     docs = spark.createDataFrame([(i, "C13 Application Fee") for i in range(40)], "id int, body string").coalesce(1)
     assert docs.rdd.getNumPartitions() == 1
