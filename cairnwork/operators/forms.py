@@ -1,18 +1,21 @@
 """Filled forms as Markdown: pipe tables with headers, continued and wrapped rows, and the fields that their cells answer.
 
-Tables are read by windows over lines. Resolvers are joins of table rows with small
-dictionaries of labels, columns and fields; their claims are put together by rank.
+Tables are read inside the row: a text is cut into sections, sections into runs of lines, and
+runs into rows, each step linear in the lines; nothing is shuffled but the texts, once. Resolvers
+are joins of table rows with small dictionaries of labels, columns and fields; their claims are put
+together by rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnwork.functions.parsing import normalised_label
+from cairnwork.operators.lines import spread
 from cairnwork.operators.ranking import first_per_key
 
 # Labels that stand alone although their values are empty, rows of the waiting list, importance levels by header, factors
@@ -44,6 +47,16 @@ def _cells(line: Column) -> Column:
     return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x))
 
 
+def _places(items: str, condition: Callable[[Column, Column], Column]) -> Column:
+    """The places, from 0, of the items of an array column that fulfil a condition on item and place."""
+    return F.filter(F.transform(items, lambda x, i: F.when(condition(x, i), i)), lambda i: i.isNotNull())
+
+
+def _stretch(items: str, places: str, first: Column, k: Column) -> Column:
+    """The items from ``first`` up to the place after the k-th of ``places``."""
+    return F.slice(items, first + 1, F.coalesce(F.get(places, k + 1), F.size(items)) - first)
+
+
 def pipe_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, section, start, at, label, values, headers): the rows of the pipe tables of each text.
 
@@ -53,35 +66,54 @@ def pipe_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row without label continues the label before it. A row whose label stands without values before
     a row with both is the beginning of that row's label. The section is the latest ## heading.
     """
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    by_doc = Window.partitionBy(id_col).orderBy("at")
-    title = F.when(F.col("line").startswith("## "), F.trim(F.regexp_replace("line", "^[# ]+", "")))
-    rows = lines.withColumn("section", F.coalesce(F.last(title, ignorenulls=True).over(by_doc), F.lit("")))
-    piped = rows.where(F.col("line").startswith("|")).withColumn("_run", F.col("at") - F.row_number().over(by_doc))
-    run = Window.partitionBy(id_col, "_run")
-    start = F.min(F.when(F.substring("line", 2, 1 << 30).contains("|"), F.col("at"))).over(run)
-    piped = piped.withColumn("start", start).where("at >= start").withColumn("cells", _cells(F.col("line")))
-    table = Window.partitionBy(id_col, "start")
-    first = F.min_by("cells", "at").over(table)
-    piped = piped.withColumns({"_lines": F.count("*").over(table), "_first": first})
+    docs = spread(docs.select(id_col, text_col), id_col)
+    lines = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line")))
+    kept = docs.select(id_col, F.filter(lines, lambda x: x["line"].startswith("|") | x["line"].startswith("## ")).alias("_kept"))
+
+    # sections: -1 stands for what is before the first heading
+    kept = kept.withColumn("_heads", F.concat(F.array(F.lit(-1)), _places("_kept", lambda x, i: x["line"].startswith("## "))))
+    title = lambda p: F.coalesce(F.trim(F.regexp_replace(F.get("_kept", p)["line"], "^[# ]+", "")), F.lit(""))
+    sections = F.transform("_heads", lambda p, k: F.struct(title(p).alias("section"), _stretch("_kept", "_heads", p + 1, k).alias("_piped")))
+    parts = kept.select(id_col, F.inline(F.filter(sections, lambda x: F.size(x["_piped"]) >= 2)))
+
+    # runs of adjacent lines; a table goes from the first line with a second pipe on
+    parts = parts.withColumn("_breaks", _places("_piped", lambda x, i: (i == 0) | (F.get("_piped", i - 1)["at"] != x["at"] - 1)))
+    runs = parts.select(id_col, "section", F.explode(F.transform("_breaks", lambda p, k: _stretch("_piped", "_breaks", p, k))).alias("_run"))
+    begin = F.array_position(F.transform("_run", lambda x: F.substring(x["line"], 2, 1 << 30).contains("|")), True).cast("int")
+    runs = runs.withColumn("_begin", begin).where("_begin > 0 AND size(_run) > _begin")
+    tables = runs.select(id_col, "section", F.slice("_run", F.greatest("_begin", F.lit(1)), F.size("_run")).alias("_run"))
+
+    tables = tables.withColumns({"start": F.get("_run", F.lit(0))["at"], "_first": _cells(F.get("_run", F.lit(0))["line"])})
     rest = F.slice("_first", 2, F.greatest(F.size("_first") - 1, F.lit(0)))
     data_first = F.exists(rest, lambda x: x.rlike("\\d")) & ~F.exists(rest, lambda x: x.rlike("(?i)\\b(?:25|50|75)(?:th)?\\s+percentile\\b"))
-    piped = piped.where("_lines >= 2").withColumn("_data", data_first)
-    begin = F.when(F.col("_data"), F.col("start")).otherwise(F.col("start") + 1)
-    rule = (F.col("at") == begin) & F.col("line").rlike("^\\|[\\s\\-:|]+\\|$")
-    body = piped.where((F.col("at") >= begin) & ~rule & (F.size("cells") > 0)).withColumns({
-        "headers": F.when(F.col("_data"), F.transform("_first", lambda x: F.lit(""))).otherwise(F.col("_first")), "_label": F.col("cells")[0], "values": F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))),
-    })
-    body = body.withColumn("_full", F.exists("values", lambda x: x != ""))
-    order = table.orderBy("at")
-    alone = (F.lag("_label").over(order) != "") & ~F.lag("_full").over(order) & ~normalised_label(F.lag("_label").over(order)).isin(*UNWRAPPED)
-    joins = F.coalesce((F.col("_label") != "") & F.col("_full") & alone, F.lit(False))
-    body = body.withColumns({"_joins": joins, "_before": F.lag("_label").over(order)})
-    whole = F.when(F.col("_joins"), F.concat_ws(" ", "_before", "_label")).otherwise(F.col("_label"))
-    body = body.withColumns({"_whole": whole, "_taken": F.coalesce(F.lead("_joins").over(order), F.lit(False))})
-    earlier = F.last(F.nullif(F.col("_whole"), F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    label = F.when((F.col("_whole") == "") & F.col("_full"), F.coalesce(earlier, F.lit(""))).otherwise(F.col("_whole"))
-    return body.withColumn("label", label).where("NOT _taken").select(id_col, "section", "start", "at", "label", "values", "headers")
+    tables = tables.withColumn("_data", data_first)
+    body = F.col("start") + F.when(F.col("_data"), 0).otherwise(1)
+    rule = lambda x: (x["at"] == body) & x["line"].rlike("^\\|[\\s\\-:|]+\\|$")
+    rows = F.transform(F.filter("_run", lambda x: (x["at"] >= body) & ~rule(x)), lambda x: F.struct(x["at"].alias("at"), _cells(x["line"]).alias("cells")))
+    rows = F.transform(F.filter(rows, lambda x: F.size(x["cells"]) > 0), lambda x: F.struct(x["at"].alias("at"), x["cells"][0].alias("label"), F.slice(x["cells"], 2, F.greatest(F.size(x["cells"]) - 1, F.lit(0))).alias("values")))
+    rows = F.transform(rows, lambda x: F.struct(x["at"].alias("at"), x["label"].alias("label"), x["values"].alias("values"), F.exists(x["values"], lambda v: v != "").alias("full")))
+    headers = F.when(F.col("_data"), F.transform("_first", lambda x: F.lit(""))).otherwise(F.col("_first"))
+    tables = tables.select(id_col, "section", "start", headers.alias("headers"), rows.alias("_rows"))
+
+    def joined(x: Column, i: Column) -> Column:
+        before = F.get("_rows", i - 1)
+        joins = (x["label"] != "") & x["full"] & (before["label"] != "") & ~before["full"] & ~normalised_label(before["label"]).isin(*UNWRAPPED)
+        return F.struct(*[x[c].alias(c) for c in ("at", "label", "values", "full")], F.coalesce(joins, F.lit(False)).alias("joins"))
+
+    def whole(x: Column, i: Column) -> Column:
+        label = F.when(x["joins"], F.concat_ws(" ", F.get("_rows", i - 1)["label"], x["label"])).otherwise(x["label"])
+        return F.struct(x["at"].alias("at"), label.alias("label"), x["values"].alias("values"), x["full"].alias("full"), F.coalesce(F.get("_rows", i + 1)["joins"], F.lit(False)).alias("taken"))
+
+    # stretches from one label to the next: a row without a label has that of its stretch
+    tables = tables.withColumn("_rows", F.transform("_rows", joined)).withColumn("_rows", F.transform("_rows", whole))
+    tables = tables.withColumn("_labels", _places("_rows", lambda x, i: (i == 0) | (x["label"] != "")))
+
+    def labelled(p: Column, k: Column) -> Column:
+        label = F.get("_rows", p)["label"]
+        return F.transform(_stretch("_rows", "_labels", p, k), lambda x: F.struct(x["at"].alias("at"), F.when((x["label"] == "") & x["full"], label).otherwise(x["label"]).alias("label"), x["values"].alias("values"), x["taken"].alias("taken")))
+
+    made = F.filter(F.flatten(F.transform("_labels", labelled)), lambda x: ~x["taken"])
+    return tables.select(id_col, "section", "start", "headers", F.inline(made)).select(id_col, "section", "start", "at", "label", "values", "headers")
 
 
 def cell_number(text: Column) -> Column:
@@ -166,4 +198,4 @@ def cleaned(claims: Sequence[DataFrame], id_col: str, overriding: str | None = N
     """
     ranked = reduce(DataFrame.unionByName, [c.withColumn("source", F.lit(i)) for i, c in enumerate(claims)])
     order = F.when(F.col("field").rlike(overriding), -F.col("source")).otherwise(F.col("source")) if overriding else F.col("source")
-    return first_per_key(ranked, [id_col, "field"], [order.asc(), F.asc("start"), F.asc("at")]).select(id_col, "field", "value", "source")
+    return first_per_key(spread(ranked, id_col), [id_col, "field"], [order.asc(), F.asc("start"), F.asc("at")]).select(id_col, "field", "value", "source")

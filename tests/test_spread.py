@@ -2,11 +2,22 @@
 
 import pytest
 
-from cairnwork.operators import prose
+from cairnwork.operators import forms, prose
 
 
-@pytest.mark.parametrize("read", [prose.marked_options, prose.application_policies])
+@pytest.mark.parametrize("read", [prose.marked_options, prose.application_policies, prose.two_year_rates, prose.retention_rate, prose.faculty_ratio, prose.grade_average, forms.pipe_tables])
 def test_texts_of_one_partition_are_dealt_over_tasks(spark, read):
     docs = spark.createDataFrame([(i, "C13 Application Fee") for i in range(40)], "id int, body string").coalesce(1)
     assert docs.rdd.getNumPartitions() == 1
     assert read(docs, "id", "body").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_tables_are_read_without_windows(spark, capsys):
+    docs = spark.createDataFrame([(1, "## x\n| a | b |\n|---|---|\n| c | |\n| d | 1 |\n| | 2 |\ntext\n|\n| lone | 3 |\n|")], "id int, body string")
+    rows = forms.pipe_tables(docs, "id", "body")
+    assert [tuple(r) for r in rows.orderBy("at", "label").collect()] == [
+        (1, "x", 1, 4, "c d", ["1"], ["a", "b"]), (1, "x", 1, 5, "c d", ["2"], ["a", "b"]), (1, "x", 8, 8, "lone", ["3"], ["", ""]),
+    ]
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "Sort" not in plan
