@@ -131,11 +131,13 @@ def claimed(docs: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataF
 
 
 def _lines_of(docs: DataFrame, id_col: str, block: Column, name: str = "_lines") -> DataFrame:
+    """The trimmed lines of a block of each text; the texts have been dealt over tasks."""
     return docs.select(id_col, F.transform(F.split(block, "\\r?\\n"), lambda x: F.trim(x)).alias(name))
 
 
 def degrees_awarded(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The number at the end of a line whose label names one degree alone, the last such line of each; in texts without any, rows of tables under a heading that speaks of persistence."""
+    docs = spread(docs.select(id_col, text_col), id_col)
     block = between(F.col(text_col), "\\bB3\\b\\s+Number of degrees awarded", "\\bB4\\b|\\bB4-B21\\b|Graduation Rates")
 
     def field_of(label: Column) -> Column:
@@ -143,33 +145,38 @@ def degrees_awarded(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str
         return F.when(F.size(hits) == 1, hits[0]["field"])
 
     numbered = F.filter("_lines", lambda x: x.rlike("\\b\\d[\\d,]*\\b$"))
-    answers = F.transform(numbered, lambda x: F.struct(field_of(normalised_label(F.regexp_replace(x, "\\b\\d[\\d,]*\\b$", ""))).alias("field"), cell_number(F.regexp_extract(x, "\\b(\\d[\\d,]*)\\b$", 1)).alias("value")))
+    labelled = F.transform(numbered, lambda x: F.struct(x.alias("line"), normalised_label(F.regexp_replace(x, "\\b\\d[\\d,]*\\b$", "")).alias("label")))
+    answers = F.transform(labelled, lambda x: F.struct(field_of(x["label"]).alias("field"), cell_number(F.regexp_extract(x["line"], "\\b(\\d[\\d,]*)\\b$", 1)).alias("value")))
     spoken = _lines_of(docs, id_col, block).select(id_col, F.filter(answers, lambda a: a["field"].isNotNull()).alias("_answers"))
 
     def last(field: str) -> Column:
         return F.try_element_at(F.filter("_answers", lambda a: a["field"] == field), F.lit(-1))["value"]
 
     lines = claimed(spoken, id_col, {f: last(f) for f in dict.fromkeys(DEGREES.values())})
-    listed = rows.where(normalised_label(F.col("section")).contains("persistence"))
-    cells = claims_of(listed, id_col, field_of(normalised_label(F.col("label"))), cell_number(F.try_element_at("values", F.lit(1))))
+    listed = rows.where(normalised_label(F.col("section")).contains("persistence")).withColumn("_label", normalised_label(F.col("label")))
+    cells = claims_of(listed, id_col, field_of(F.col("_label")), cell_number(F.try_element_at("values", F.lit(1))))
     latest = cells.groupBy(id_col, "field").agg(F.max_by("value", F.struct("start", "at")).alias("value"))
     return lines.unionByName(latest.join(spoken.where(F.size("_answers") > 0), id_col, "left_anti"))
 
 
 def two_year_rates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The first two numbers of a line behind its code: those after its last colon, or all if it has none, or those right behind the code."""
+    docs = spread(docs.select(id_col, text_col), id_col)
     block = between(F.col(text_col), "For Two-Year Institutions", "\\bB22\\b")
     code = "^.*?\\b(?:B1[2-9]|B2[01])\\b"
     number = F.lit("(?<!\\d)\\d[\\d,]*(?!\\d)")
 
-    def answer(line: Column) -> Column:
-        tail = F.regexp_replace(line, code, "")
+    coded = F.filter("_lines", lambda x: x.rlike("\\b(?:B1[2-9]|B2[01])\\b"))
+    tails = F.transform(coded, lambda x: F.struct(found(x, "\\b(B1[2-9]|B2[01])\\b").alias("code"), F.regexp_replace(x, code, "").alias("tail")))
+
+    def answer(x: Column) -> Column:
+        tail = x["tail"]
         body = F.when(tail.contains(":"), F.substring_index(tail, ":", -1)).otherwise(tail)
         values = F.regexp_extract_all(body, number, 0)
         close = F.array_compact(F.array(found(tail, "^\\s*(\\d[\\d,]*)"), found(tail, "^\\s*\\d[\\d,]*\\s+(\\d[\\d,]*)")))
-        return F.struct(found(line, "\\b(B1[2-9]|B2[01])\\b").alias("code"), F.when(F.size(values) > 0, values).otherwise(close).alias("values"))
+        return F.struct(x["code"].alias("code"), F.when(F.size(values) > 0, values).otherwise(close).alias("values"))
 
-    rows = _lines_of(docs, id_col, block).select(id_col, F.filter(F.transform("_lines", answer), lambda a: a["code"].isNotNull()).alias("_rows"))
+    rows = _lines_of(docs, id_col, block).select(id_col, F.transform(tails, answer).alias("_rows"))
 
     def last(n: int, k: int) -> Column:
         held = F.filter("_rows", lambda a: (a["code"] == f"B{n}") & (F.size(a["values"]) >= k))
@@ -180,7 +187,9 @@ def two_year_rates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def retention_rate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The first percentage after the section's heading or first sentence, before the next heading or in 3,000 characters."""
+    docs = spread(docs.select(id_col, text_col), id_col)
     tail = F.regexp_extract(F.col(text_col), "(?ims)(?:^#+\\s*B22\\b|\\bB22\\b(?=[^\\n]*retention|[^\\n]*\\bcohort\\b))(.*)", 1)
+    docs, tail = docs.select(id_col, tail.alias("_tail")), F.col("_tail")
     window = F.when(tail.rlike("(?m)^##\\s"), F.regexp_extract(tail, "(?ms)\\A(.*?)^##\\s", 1)).otherwise(F.left(tail, F.lit(3000)))
     return claimed(docs, id_col, {"B.2203": found(window, "(\\d{1,3}(?:\\.\\d+)?)\\s*%")})
 
@@ -252,6 +261,7 @@ def faculty_counts(rows: DataFrame, id_col: str, letters: str = "ABCDEFGHIJ", ba
 
 def faculty_ratio(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The ratio, students and faculty within 400 characters of each mention of the ratio; the first mention with a ratio or with ``based on`` that has a field gives it."""
+    docs = spread(docs.select(id_col, text_col), id_col)
     windows = F.regexp_extract_all(F.col(text_col), F.lit("(?is)(?=(student\\s+to\\s+faculty\\s+ratio.{0,400}))"), 1)
 
     def answers(window: Column) -> Column:
@@ -273,7 +283,7 @@ def faculty_ratio(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def grade_average(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The average grade beside, before or at the end of the line of its question, or after it over several lines; and the share that submitted one."""
     block = F.regexp_extract(F.col(text_col), f"(?is)(.{{0,100}}{GPA}.*?)(?:C13\\b|\\z)", 1)
-    docs = docs.select(id_col, block.alias("_block"))
+    docs = spread(docs.select(id_col, text_col), id_col).select(id_col, block.alias("_block"))
     block, grade = F.col("_block"), "[0-4](?:\\.\\d{1,2})?"
     average = F.coalesce(
         found(block, f"(?i)students who submitted GPA:\\s*({grade})\\b"),
