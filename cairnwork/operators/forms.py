@@ -123,8 +123,9 @@ def cell_number(text: Column) -> Column:
 
 
 def _first_of(text: Column, table: Mapping[str, str]) -> Column:
-    """The value of the first key that the text holds."""
-    return reduce(lambda out, x: F.when(text.contains(x[0]), x[1]).otherwise(out), reversed(table.items()), F.lit(None).cast("string"))
+    """The value of the first key that the text holds; the text itself is made once for all keys."""
+    first = lambda t: reduce(lambda out, x: F.when(t.contains(x[0]), x[1]).otherwise(out), reversed(table.items()), F.lit(None).cast("string"))
+    return F.transform(F.array(text), first)[0]
 
 
 def _joined(headers: Column) -> Column:
@@ -156,7 +157,7 @@ def selection_basis(rows: DataFrame, id_col: str, fields: DataFrame) -> DataFram
     table = Window.partitionBy(id_col, "start")
     names = F.transform(F.slice("headers", 2, F.greatest(F.size("headers") - 1, F.lit(0))), lambda h: normalised_label(h))
     level = F.transform(names, lambda h: reduce(lambda out, x: F.when(h.startswith(x[0]), x[1]).otherwise(out), reversed(LEVELS.items()), F.lit(None).cast("string")))
-    shown = _joined(F.col("headers")).contains("very important") & _joined(F.col("headers")).contains("considered")
+    shown = F.exists(F.array(_joined(F.col("headers"))), lambda h: h.contains("very important") & h.contains("considered"))
     made = rows.withColumns({"question": factor, "category": category, "_levels": level})
     made = made.withColumns({"_rows": F.count("question").over(table), "_wide": F.max(F.size("values")).over(table)}).where(shown | (F.col("_rows") >= 3))
     plain = F.when(F.col("_wide") == 4, F.array(*map(F.lit, list(LEVELS.values())[:4]))).when(F.col("_wide") == 3, F.array(*map(F.lit, list(LEVELS.values())[1:4])))

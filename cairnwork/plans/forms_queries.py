@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnwork.operators import forms as T
+from cairnwork.operators.lines import spread
 from cairnwork.operators.lookups import mapped
 from cairnwork.plans.registry import query
-from cairnwork.storage import load
+from cairnwork.storage import load, materialize
 
 FORM = """concat('## C2 waiting list
 | Waiting list | Total |
@@ -51,14 +52,14 @@ def _(s, d):
     return T.waiting_list(_rows(s, d), "p_partkey").select("p_partkey", "field", "value")
 
 
-def _basis(s, d):
+def _basis(s, rows):
     fields = s.createDataFrame([("Academic Factors", "Class rank", "C.702"), ("Nonacademic Factors", "Interview", "C.707")], "category string, question string, field string")
-    return T.selection_basis(_rows(s, d), "p_partkey", fields)
+    return T.selection_basis(rows, "p_partkey", fields)
 
 
 @query("T_04_selection_basis", "SELECT p_partkey, 'C.702' AS field, CASE p_partkey % 3 WHEN 0 THEN 'Very Important' WHEN 1 THEN 'Considered' ELSE 'Important' END AS value FROM part UNION ALL SELECT p_partkey, 'C.707', 'Important' FROM part WHERE p_partkey % 3 < 2")
 def _(s, d):
-    return _basis(s, d).select("p_partkey", "field", "value")
+    return _basis(s, _rows(s, d)).select("p_partkey", "field", "value")
 
 
 @query("T_04_enrollment_by_race", "SELECT p_partkey, 'B.202' AS field, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'B.222', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 2 = 1")
@@ -76,8 +77,8 @@ def _(s, d):
     SELECT p_partkey, 'C.202' AS field, CAST(p_size * 100 AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'C.203', '1' || (100 + p_partkey % 900) FROM part UNION ALL SELECT p_partkey, 'C.702', CASE p_partkey % 3 WHEN 0 THEN 'Very Important' WHEN 1 THEN 'Considered' ELSE 'Important' END FROM part UNION ALL SELECT p_partkey, 'C.707', 'Important' FROM part WHERE p_partkey % 3 < 2
     UNION ALL SELECT p_partkey, 'C.911', CAST(p_size * 20 AS VARCHAR) FROM part WHERE p_size * 20 BETWEEN 200 AND 800 UNION ALL SELECT p_partkey, 'C.913', '700' FROM part""")
 def _(s, d):
-    rows = _rows(s, d)
-    return T.cleaned([T.waiting_list(rows, "p_partkey"), _basis(s, d), T.score_percentiles(rows, "p_partkey")], "p_partkey").select("p_partkey", "field", "value")
+    rows = spread(materialize(_rows(s, d), "rows"), "p_partkey")
+    return T.cleaned([T.waiting_list(rows, "p_partkey"), _basis(s, rows), T.score_percentiles(rows, "p_partkey")], "p_partkey").select("p_partkey", "field", "value")
 
 
 @query("A_07_directory_cards", """
