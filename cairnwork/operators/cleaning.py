@@ -1,6 +1,6 @@
 """The whole reading of a filled form: answers by direct ids, a map of labels, score tables, lines, anchors in the text and section resolvers, first claim first.
 
-Every reader makes claims ``(id_col, field, value, start, at)`` of its own; ``clean`` puts them in order. Tables are read once for all
+Every reader makes claims ``(id_col, field, value, start, at)`` of its own; ``clean`` puts them in order. Tables are read and written once for all
 readers; what reads the text itself stays inside the row.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions.parsing import normalised_label, question_number
 from cairnwork.operators.forms import SCORE_BOUNDS, cell_number, cleaned, pipe_tables, score_percentiles
+from cairnwork.operators.lines import spread
+from cairnwork.storage import materialize
 
 VALUE = "(?i)(?:^|\\s)([xyn]|-?\\$?\\d[\\d,]*(?:\\.\\d+)?%?|\\d{1,2}-[a-z]{3,9})\\s*$"
 TAIL = "(?i)^(?:[xyn]|-?\\$?\\d[\\d,]*(?:\\.\\d+)?%?|\\d{1,2}-[a-z]{3,9})$|^https?://"
@@ -115,7 +117,8 @@ def clean(docs: DataFrame, id_col: str, text_col: str, fields: DataFrame, labels
     anchors, then ``resolvers`` in their order, which take the texts and their table rows. Fields that match ``overriding`` are taken from the
     last reader that has them. ``source`` is 0 for tables, 1 for lines, 2 for anchors and 3 on for resolvers. Null texts have no answers.
     """
-    rows = pipe_tables(docs, id_col, text_col)
+    docs = spread(docs.select(id_col, text_col), id_col)
+    rows = spread(materialize(pipe_tables(docs, id_col, text_col), "rows"), id_col)
     readers = [direct_answers(rows, id_col, fields), *([mapped_answers(rows, id_col, labels)] if labels else []), table_scores(rows, id_col)]
     tables = readers[0].withColumn("at", F.col("at") * len(readers))
     for i, claims in enumerate(readers[1:], 1):
