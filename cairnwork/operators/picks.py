@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnwork.operators.lookups import mapped
+from cairnwork.operators.places import Order
 from cairnwork.operators.ranking import first_per_key
 
 # Flags of rows that show nothing, sources that come from the school itself, states of work in the order in which they are taken up, severities in order.
@@ -102,14 +103,18 @@ def assigned_slugs(rows: DataFrame, tiers: Sequence[str], claimed: DataFrame, id
     return out
 
 
-def pending_order(year: str, discovered: str, key: str) -> list[Column]:
-    """Newest year first, then the latest discovered, then the key."""
-    return [F.coalesce(F.substring(F.col(year), 1, 4).try_cast("int"), F.lit(-1)).desc(), F.desc_nulls_last(discovered), F.asc(key)]
+def pending_order(year: str, discovered: str, key: str) -> list[Order]:
+    """Newest year first, then the latest discovered, then the key; an order for ``ranked_overall``.
+
+    A failing ``try_cast`` costs an exception a row, so a text without digits isn't cast.
+    """
+    begin = F.substring(F.col(year), 1, 4)
+    return [(F.coalesce(F.when(begin.rlike("[0-9]"), begin.try_cast("int")), F.lit(-1)), F.desc), F.desc_nulls_last(discovered), F.asc(key)]
 
 
-def severity_order(severity: str, *ids: str) -> list[Column]:
-    """major, notable, watch, others; then the ids."""
-    return [F.coalesce(mapped(F.col(severity), SEVERITY_ORDER), F.lit(9)).asc(), *[F.asc(c) for c in ids]]
+def severity_order(severity: str, *ids: str) -> list[Order]:
+    """major, notable, watch, others; then the ids. An order for ``ranked_overall``."""
+    return [(F.coalesce(mapped(F.col(severity), SEVERITY_ORDER), F.lit(9)), F.asc), *[F.asc(c) for c in ids]]
 
 
 def collated(column: str, descending: bool = False) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,16 +11,25 @@ from cairnwork.storage import materialize
 
 PART_BITS = 33
 
+#: A column to sort by, or an expression with its direction (``F.asc``, ``F.desc`` or one that says where nulls go).
+Order = Column | str | tuple[Column, Callable[[str], Column]]
 
-def sorted_ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``order`` and written, with ``_part`` and ``_at``: a row's range and its place there."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+def sorted_ranges(df: DataFrame, order: Sequence[Order]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order`` and written, with ``_part`` and ``_at``: a row's range and its place there.
+
+    A sort evaluates an expression anew for both rows of each comparison, so expressions given with
+    their direction are made columns first and evaluated once a row.
+    """
+    made = {f"_key{i}": x[0] for i, x in enumerate(order) if isinstance(x, tuple)}
+    by = [x[1](f"_key{i}") if isinstance(x, tuple) else x for i, x in enumerate(order)]
+    ranged = df.withColumns(made).repartitionByRange(*by).sortWithinPartitions(*by).drop(*made)
     placed = ranged.withColumn("_id", F.monotonically_increasing_id())
     placed = placed.withColumns({"_part": F.shiftright("_id", PART_BITS), "_at": F.col("_id").bitwiseAND(F.lit((1 << PART_BITS) - 1))}).drop("_id")
     return materialize(placed, "ordered")
 
 
-def overall_places(df: DataFrame, order: Sequence[Column | str], name: str = "_place") -> DataFrame:
+def overall_places(df: DataFrame, order: Sequence[Order], name: str = "_place") -> DataFrame:
     """``df`` with places from 0 in the order; only the table of ranges, one row each, goes through one task."""
     placed = sorted_ranges(df, order)
     parts = placed.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnwork.functions import scalars as X
 from cairnwork.functions.parsing import normalised_name
+from cairnwork.operators.places import Order
 from cairnwork.operators.ranking import first_per_key
 
 # Orders of the classes, and the classes of institution by code range.
@@ -128,12 +129,12 @@ def collapse_aliases(schools: DataFrame, name: str, profile: Sequence[str], offi
     return first_per_key(keyed, ["_group", "_official"], order).drop("_group", "_official")
 
 
-def match_order(sort: str = "fit") -> list[Column]:
-    """The order of a match list: fit, then by the mode (admit_rate or name), outlook, selectivity, rank score and name."""
+def match_order(sort: str = "fit") -> list[Order]:
+    """The order of a match list: fit, then by the mode (admit_rate or name), outlook, selectivity, rank score and name; for ``ranked_overall``."""
     rate, name = F.col("acceptance_rate"), F.col("name").asc()
-    first = [_choice(F.col("fit"), FIT_ORDER).asc()]
+    first = [(_choice(F.col("fit"), FIT_ORDER), F.asc)]
     if sort == "name":
         return [*first, name]
     if sort == "admit_rate":
-        first.append(F.coalesce(rate, F.lit(-1.0)).desc())
-    return [*first, _choice(F.col("outlook"), OUTLOOK_ORDER).asc(), F.coalesce(rate, F.lit(1.0)).asc(), F.col("rank_score").desc(), name]
+        first.append((F.coalesce(rate, F.lit(-1.0)), F.desc))
+    return [*first, (_choice(F.col("outlook"), OUTLOOK_ORDER), F.asc), (F.coalesce(rate, F.lit(1.0)), F.asc), F.col("rank_score").desc(), name]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnwork.operators.places import overall_places
+from cairnwork.operators.places import Order, overall_places
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -21,7 +21,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: st
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def ranked_overall(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+def ranked_overall(df: DataFrame, order: Sequence[Order], name: str = "rank") -> DataFrame:
     """``df`` with 1-based places in the whole table, sorted by ranges."""
     return overall_places(df, order, name).withColumn(name, F.col(name) + 1)
 
