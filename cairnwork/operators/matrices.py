@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnwork.functions.parsing import normalised_label
+from cairnwork.operators.lines import spread
 
 ABSENT = "Not reported"
+#: A cell's key is its table's number, shifted by these bits, plus its number in the table.
+CELL_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -172,40 +175,41 @@ def matrices(values: DataFrame, id_col: str, layouts: Sequence[Matrix] = MATRICE
     (column, field, display, missing): a cell without a value shows that it isn't reported. Of repeated fields the
     least value counts; fields that stand in no table are left out.
     """
-    spark = values.sparkSession
-    cells = dictionary(spark, layouts)
-    tables = cells.groupBy("at", "name", "title", "section", "form", "row", "label").agg(F.array_sort(F.collect_list(F.struct("col", "column", "field", "percent", "choice"))).alias("places"))
+    cells = dictionary(values.sparkSession, layouts).withColumn("key", F.shiftleft("at", CELL_BITS) + F.row_number().over(Window.partitionBy("at").orderBy("row", "col")))
+    blank = F.struct("column", F.when(~F.col("choice"), F.col("field")).alias("field"), F.lit(ABSENT).alias("display"), F.lit(True).alias("missing"))
+    place = F.struct("col", "key", blank.alias("blank"), "field")
+    rows = cells.groupBy("at", "name", "title", "section", "form", "row", "label").agg(F.array_sort(F.collect_list(place)).alias("places"))
+    tables = rows.groupBy("at", "name", "title", "section", "form").agg(F.array_sort(F.collect_list(F.struct("row", "label", "places"))).alias("_rows"))
+
     text = {c: F.lower(F.col(c)) if c in values.columns else F.lit(None).cast("string") for c in ("question", "schema_version")}
-    version = F.max(text["schema_version"] == OLD_SCHEMA)
-    known = [f for f in {i for m in layouts for _, ids in m.rows for i in ids if i}]
-    own = values.where(F.col("field").isin(known)).select(id_col, "field", "value", text["question"].alias("_question"), text["schema_version"].alias("schema_version"))
+    own = spread(values.select(id_col, "field", "value", text["question"].alias("_question"), text["schema_version"].alias("schema_version")), id_col)
+    where = cells.where("field IS NOT NULL").select("key", "field", "percent", "choice", normalised_label(F.col("column")).alias("_column"))
+    own = own.join(F.broadcast(where), "field")
+    value = F.col("value")
+    chosen = F.col("choice") & F.coalesce(normalised_label(value) == F.col("_column"), F.lit(False))
+    sign = F.when(F.col("percent") & _reported(value) & ~value.endswith("%"), F.concat(value, F.lit("%"))).otherwise(F.when(F.trim(value) != "", value))
+    choice = F.when(value.isNull(), ABSENT).when(chosen, "Yes").otherwise("—")
+    display = F.when(F.col("choice"), choice).otherwise(F.coalesce(sign, F.lit(ABSENT)))
+    missing = F.when(F.col("choice"), ~chosen).otherwise(~_reported(value))
+    shown = F.struct("key", "value", display.alias("display"), missing.alias("missing"))
+
+    version = F.max(F.col("schema_version") == OLD_SCHEMA)
     signs = {s: F.coalesce(F.bool_or(_sign(asked, only)), F.lit(False)) for s, (asked, only) in OLD_SIGNS.items()}
-    docs = own.groupBy(id_col).agg(
-        F.array_sort(F.collect_set(F.struct("field", "value"))).alias("_all"), F.coalesce(version, F.lit(False)).alias("_old"), *[v.alias(f"_{s}") for s, v in signs.items()],
-    )
-    first = F.filter("_all", lambda e, i: (i == 0) | (F.get("_all", i - 1)["field"] != e["field"]))
-    docs = docs.withColumn("_map", F.map_from_entries(first))
+    docs = own.groupBy(id_col).agg(F.array_sort(F.collect_set(shown)).alias("_all"), F.coalesce(version, F.lit(False)).alias("_old"), *[v.alias(f"_{s}") for s, v in signs.items()])
     docs = docs.withColumns({"_c1": F.col("_c1") | F.col("_old"), "_d2": F.col("_old")})
     old = F.filter(F.array(*[F.when(F.col(f"_{s}"), s) for s in OLD_SIGNS]), lambda x: x.isNotNull())
-    present = docs.select(id_col, "_map", old.alias("_olds"), F.explode(F.map_keys("_map")).alias("field"))
-    where = cells.select("at", "section", "form", "field").distinct()
-    wanted = present.join(F.broadcast(where), "field").where("form IS NULL OR (form = 'old') = array_contains(_olds, section)").select(id_col, "at").distinct()
-    rows = docs.select(id_col, "_map").join(wanted, id_col).join(F.broadcast(tables), "at")
-
-    def shown(p: Column) -> Column:
-        value = F.try_element_at(F.col("_map"), F.coalesce(p["field"], F.lit("")))
-        chosen = normalised_label(value) == normalised_label(p["column"])
-        sign = F.when(p["percent"] & _reported(value) & ~value.endswith("%"), F.concat(value, F.lit("%"))).otherwise(F.when(F.trim(value) != "", value))
-        choice = F.when(value.isNull(), ABSENT).when(chosen, "Yes").otherwise("—")
-        return F.struct(
-            p["column"].alias("column"), F.when(~p["choice"] | F.coalesce(chosen, F.lit(False)), p["field"]).alias("field"),
-            F.when(p["choice"], choice).otherwise(F.coalesce(sign, F.lit(ABSENT))).alias("display"),
-            F.when(p["choice"], ~F.coalesce(chosen, F.lit(False))).otherwise(~_reported(value)).alias("missing"),
-        )
-
-    made = rows.select(id_col, "at", "name", "title", "row", "label", F.transform("places", shown).alias("cells"))
-    filled = made.groupBy(id_col, "at").agg(F.bool_or(F.exists("cells", lambda c: ~c["missing"])).alias("_any")).where("_any").select(id_col, "at")
-    return made.join(filled, [id_col, "at"], "left_semi").drop("at")
+    docs = docs.select(id_col, old.alias("_olds"), F.filter("_all", lambda e, i: (i == 0) | (F.get("_all", i - 1)["key"] != e["key"])).alias("_first"))
+    reported = F.array_distinct(F.transform(F.filter("_first", lambda e: ~e["missing"]), lambda e: F.shiftright(e["key"], CELL_BITS)))
+    by_key = F.map_from_entries(F.transform("_first", lambda e: F.struct(e["key"].alias("key"), F.struct(e["display"].alias("display"), e["missing"].alias("missing")).alias("shown"))))
+    filled = docs.select(id_col, "_olds", by_key.alias("_shown"), F.explode(reported).alias("at")).join(F.broadcast(tables), "at")
+    filled = filled.where("form IS NULL OR (form = 'old') = array_contains(_olds, section)")
+
+    def cell(p: Column) -> Column:
+        own = lambda x: F.struct(p["blank"]["column"].alias("column"), F.coalesce(p["blank"]["field"], F.when(~x["missing"], p["field"])).alias("field"), x["display"].alias("display"), x["missing"].alias("missing"))
+        return F.transform(F.array(F.try_element_at("_shown", p["key"])), lambda x: F.when(x.isNull(), p["blank"]).otherwise(own(x)))[0]
+
+    made = F.transform("_rows", lambda r: F.struct(r["row"].alias("row"), r["label"].alias("label"), F.transform(r["places"], cell).alias("cells")))
+    return filled.select(id_col, "name", "title", F.inline(made))
 
 
 def _sign(asked: Sequence[tuple[str, str]], only: Sequence[str]) -> Column:

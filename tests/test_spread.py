@@ -2,7 +2,7 @@
 
 import pytest
 
-from cairnwork.operators import forms, prose
+from cairnwork.operators import forms, matrices, prose
 
 
 @pytest.mark.parametrize("read", [prose.marked_options, prose.application_policies, prose.two_year_rates, prose.retention_rate, prose.faculty_ratio, prose.grade_average, forms.pipe_tables])
@@ -28,3 +28,17 @@ def test_a_label_is_normalised_once_for_all_keys(spark, capsys):
     rows.select(forms._first_of(forms.normalised_label(rows["label"]), forms.NONACADEMIC).alias("first")).explain(True)
     plan = capsys.readouterr().out.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
     assert plan.count("freshm") == 1
+
+
+def test_tables_are_rebuilt_and_read_back_after_one_shuffle(spark, capsys):
+    values = spark.createDataFrame([(1, "H.501", "5"), (1, "C.101", None), (1, "C.101", "7"), (1, "H.502", "9"), (1, "H.502", "8"), (2, "C.702", "Important"), (2, "C.101", " ")], "doc int, field string, value string")
+    made = matrices.matrices(values, "doc")
+    assert {tuple(r) for r in matrices.field_values(made, "doc").collect()} == {(1, "H.501", "5"), (1, "H.502", "8"), (2, "C.702", "Important")}
+    assert {r.name for r in made.where("doc = 1").collect()} == {"h5-student-loans"}
+    back = matrices.fields_of_tables(forms.pipe_tables(matrices.markdown(made, "doc"), "doc", "text"), "doc")
+    capsys.readouterr()
+    back.explain()
+    plan = capsys.readouterr().out
+    by_doc = [x for x in plan.splitlines() if "Exchange hashpartitioning(doc" in x]
+    assert len(by_doc) == 1, plan
+    assert {tuple(r) for r in back.collect()} == {(1, "H.501", "5"), (1, "H.502", "8"), (2, "C.702", "Important")}
