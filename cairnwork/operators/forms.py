@@ -42,9 +42,9 @@ SCORE_BOUNDS = (("sat composite", 400, 1600), ("sat", 200, 800), ("act", 1, 36))
 
 
 def _cells(line: Column) -> Column:
-    """What stands between the pipes of a line: nothing before the first and after the last counts."""
-    parts = F.split(line, "\\|")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.trim(x))
+    """What stands between the pipes of a line: nothing before the first and after the last counts. The line is split once for its parts and their number."""
+    inner = lambda parts: F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    return F.transform(F.transform(F.array(F.split(line, "\\|")), inner)[0], lambda x: F.trim(x))
 
 
 def _places(items: str, condition: Callable[[Column, Column], Column]) -> Column:
@@ -76,11 +76,11 @@ def pipe_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sections = F.transform("_heads", lambda p, k: F.struct(title(p).alias("section"), _stretch("_kept", "_heads", p + 1, k).alias("_piped")))
     parts = kept.select(id_col, F.inline(F.filter(sections, lambda x: F.size(x["_piped"]) >= 2)))
 
-    # runs of adjacent lines; a table goes from the first line with a second pipe on
+    # runs of adjacent lines; a table goes from the first line with a second pipe on, which is looked for inside the generator: filters can't repeat it
     parts = parts.withColumn("_breaks", _places("_piped", lambda x, i: (i == 0) | (F.get("_piped", i - 1)["at"] != x["at"] - 1)))
-    runs = parts.select(id_col, "section", F.explode(F.transform("_breaks", lambda p, k: _stretch("_piped", "_breaks", p, k))).alias("_run"))
-    begin = F.array_position(F.transform("_run", lambda x: F.substring(x["line"], 2, 1 << 30).contains("|")), True).cast("int")
-    runs = runs.withColumn("_begin", begin).where("_begin > 0 AND size(_run) > _begin")
+    begin = lambda run: F.array_position(F.transform(run, lambda x: F.substring(x["line"], 2, 1 << 30).contains("|")), True).cast("int")
+    stretches = F.transform("_breaks", lambda p, k: _stretch("_piped", "_breaks", p, k))
+    runs = parts.select(id_col, "section", F.inline(F.transform(stretches, lambda run: F.struct(run.alias("_run"), begin(run).alias("_begin"))))).where("_begin > 0 AND size(_run) > _begin")
     tables = runs.select(id_col, "section", F.slice("_run", F.greatest("_begin", F.lit(1)), F.size("_run")).alias("_run"))
 
     tables = tables.withColumns({"start": F.get("_run", F.lit(0))["at"], "_first": _cells(F.get("_run", F.lit(0))["line"])})

@@ -243,7 +243,7 @@ def markdown(made: DataFrame, id_col: str) -> DataFrame:
 def fields_of_tables(rows: DataFrame, id_col: str, layouts: Sequence[Matrix] = MATRICES) -> DataFrame:
     """``(id_col, field, value)`` of rows of ``pipe_tables`` whose heading is a table's title and whose headers are all its columns, by their label and the header above each cell; a marked choice gives its column."""
     heads = F.slice("headers", 2, F.greatest(F.size("headers") - 1, F.lit(0)))
-    cells = rows.select(id_col, "section", "label", F.array_join(heads, "|").alias("heads"), F.inline(F.arrays_zip(heads.alias("column"), F.col("values").alias("cell")))).where("trim(cell) <> ''")
+    cells = rows.select(id_col, "section", "label", F.coalesce(F.array_join(heads, "|"), F.lit("")).alias("heads"), F.inline(F.arrays_zip(heads.alias("column"), F.col("values").alias("cell")))).where("trim(cell) <> ''")
     places = [(m.title, "|".join(m.columns), label, m.columns[c], field, m.choice) for m in layouts for label, ids in m.rows for c, field in enumerate(ids) if field]
     known = rows.sparkSession.createDataFrame(places, "section string, heads string, label string, column string, field string, choice boolean").distinct()
     found = cells.join(F.broadcast(known), ["section", "heads", "label", "column"])

@@ -42,3 +42,13 @@ def test_tables_are_rebuilt_and_read_back_after_one_shuffle(spark, capsys):
     by_doc = [x for x in plan.splitlines() if "Exchange hashpartitioning(doc" in x]
     assert len(by_doc) == 1, plan
     assert {tuple(r) for r in back.collect()} == {(1, "H.501", "5"), (1, "H.502", "8"), (2, "C.702", "Important")}
+
+
+def test_where_a_table_begins_is_found_once(spark, capsys):
+    docs = spark.createDataFrame([(1, "## H5 student loans\n| | Number in class | Percent of class | Average per borrower |\n|---|---|---|---|\n| Any loan program | 1 | | |")], "id int, body string")
+    back = matrices.fields_of_tables(forms.pipe_tables(docs, "id", "body"), "id")
+    assert [tuple(r) for r in back.collect()] == [(1, "H.501", "1")]
+    capsys.readouterr()
+    back.explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
+    assert plan.count("array_position(") == 1 and plan.count("split(") == 3, plan
